@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import kept, without
 
-MOST_LABELS = 6000
-#: Words of each lexicon, at most; a word enters with so many documents of its class, such a share of them (groups of
-#: copies share odd words), and log odds of at least so much.
-LEXICON, LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 300, 5, 0.04, 1.5
+MOST_LABELS = 12_000
+#: Words of each lexicon, at most; a word enters when it follows so many different words in its class, with log odds of
+#: at least so much. A context counts once however many copies of a text carry it.
+LEXICON, LEXICON_CONTEXTS, LEXICON_ODDS = 500, 8, 2.0
 #: Posterior probabilities at which a document goes.
 REJECT_AT = 0.5
 #: Path tables of at most so many rows are broadcast; larger ones are joined by shuffle.
@@ -123,22 +123,26 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
-    """Two bounded passes over the labelled sample: word counts by class (aggregated in Spark; only lexicons reach the
+    """Two bounded passes over the labelled sample: word contexts by class (counted in Spark; only lexicons reach the
     driver), then features, from which the regressions are fitted."""
     sample = kept(_sample(docs, labels, most))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, low, toxic = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            rows = [(w.decode(errors="replace"), lo, to) for x, lo, to in zip(t, low, toxic, strict=True) for w in set(_vocabulary(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.int32()), (2, pa.int32()))], names=["word", "low", "toxic"])
-
-    n = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TASKS]).first()
-    counts = kept(sample.select("text", *TASKS).mapInArrow(words, "word string, low int, toxic int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TASKS]).filter(F.col("n") >= LEXICON_DOCS))
+            for x, lo, to in zip(t, low, toxic, strict=True):
+                w = _vocabulary(x)
+                pairs = [(a.decode(errors="replace"), c.decode(errors="replace")) for a, c in set(zip([b"", *w], w, strict=False))]
+                n = len(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([lo] * n, pa.int32()), pa.array([to] * n, pa.int32())], names=["after", "word", "low", "toxic"])
+
+    contexts = sample.select("text", *TASKS).mapInArrow(words, "after string, word string, low int, toxic int").groupBy("word", "after").agg(*[F.avg(t).alias(t) for t in TASKS])
+    counts = kept(contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TASKS]))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0.0)).alias(t) for t in TASKS]).first()
     model = Model()
     for t in TASKS:
         odds = F.log((F.col(t) + 0.5) / (n[t] + 1.0)) - F.log((F.col("n") - F.col(t) + 0.5) / (n["n"] - n[t] + 1.0))
-        best = counts.filter(F.col(t) >= max(LEXICON_DOCS, LEXICON_SHARE * n[t])).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS).orderBy((F.col(t) * F.col("odds")).desc(), "word").limit(LEXICON)
+        best = counts.filter(F.col(t) >= LEXICON_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS).orderBy((F.col(t) * F.col("odds")).desc(), "word").limit(LEXICON)
         model.lexicons[t] = {r["word"].encode(): r["odds"] for r in best.collect()}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
