@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, exact_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, token_count
+from netloom.llm import chat, exact_dedup, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, token_count
 from netloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.by_path(docs, secret_scan.scan(docs))
@@ -41,6 +45,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.with_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -50,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scan, op4_mixing, op5_chat, op6_quality_classifier, op7_exact_dedup, op9_token_counts, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secret_scan.SQL, "op4_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_secret_scan, op4_mixing, op5_chat, op6_quality_classifier, op7_exact_dedup, op8_jaccard_join, op9_token_counts, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secret_scan.SQL, "op4_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
