@@ -9,43 +9,52 @@ An empty table gives an empty result. Columns of the input that share a name wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import LOWER, UPPER, ascii_lower, text_of, without
+from netloom.llm.common import LOWER, UPPER, ascii_lower, text_of, without, written
 
 #: Members of one group that meet one copy of the keeper's bytes; larger groups are salted into more parts.
 PER_SALT = 512
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def content_hash(t: Column) -> Column:
+    """128 bits of a normalised text."""
+    return F.unhex(F.md5(t))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, content hash, SHA-256 and a hash of the raw text for every row: the one pass that normalises all texts. It is
+    written, as every step after it starts there."""
     t = ascii_lower(text_of(text_col))
-    return docs.select(F.col(id_col).alias("id"), t.alias("t")).withColumn("h", F.unhex(F.md5("t")))
+    return written(docs.select(F.col(id_col).alias("id"), content_hash(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("sha"), F.xxhash64(text_of(text_col)).alias("raw")), "digests")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row for each distinct (id, text): id, h, text_sha256, n_rows, keep_id, group_size, kept.
+    """One row for each distinct (id, normalised text): id, h, sha, raw, n_rows, keep_id, group_size, kept.
 
-    Only hashes and ids are shuffled to form the groups. Texts move once, and only for the comparison of bytes:
-    each member of a group with more than one row meets the keeper's text, in salted parts of bounded size.
+    Only hashes and ids are shuffled to form the groups. Texts move once, by their own id and hash, for the comparison of
+    bytes: each member of a group with more than one row meets the keeper's text, in salted parts of bounded size.
     A group in which bytes differ (a collision of the hash) is split into groups of equal bytes.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
-    hashed = _hashed(docs, id_col, text_col)
-    rows = hashed.select("id", "h", F.sha2("t", 256).alias("text_sha256")).groupBy("h", "text_sha256", "id").agg(F.count(F.lit(1)).alias("n_rows"))
+    digests = _digests(docs, id_col, text_col)
+    rows = digests.groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("raw"))
     groups = rows.groupBy("h").agg(best("id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
 
     multiple = groups.filter("group_size > 1").withColumn("parts", F.ceil(F.col("group_size") / PER_SALT).cast("int"))
-    members = rows.select("h", "id").distinct().join(multiple, "h")
-    found = hashed.alias("a").join(members.alias("m"), (F.col("a.h") == F.col("m.h")) & F.col("a.id").eqNullSafe(F.col("m.id")))
-    found = found.select("a.h", "a.t", "a.id", "m.keep_id", "m.parts").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = digests.select("h", "id", "raw").distinct().join(multiple, "h")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("raw", F.xxhash64("text"))
+    found = texts.alias("a").join(members.alias("m"), (F.col("a.raw") == F.col("m.raw")) & F.col("a.id").eqNullSafe(F.col("m.id")))
+    found = written(found.select("m.h", "a.id", "m.keep_id", "m.parts", ascii_lower(F.col("a.text")).alias("t")), "members")
+    found = found.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     keeper = found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.max("t").alias("keep_t"), F.max("parts").alias("parts"))
     keeper = keeper.select("h", "keep_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     collided = found.join(keeper, ["h", "part"]).filter("t <> keep_t").select("h").distinct()
-    split = found.join(collided, "h", "left_semi").groupBy("h", F.sha2("t", 256).alias("text_sha256")).agg(best("id").alias("own_id"), F.count(F.lit(1)).alias("own_size"))
+    split = found.join(collided, "h", "left_semi").groupBy("h", F.unhex(F.sha2("t", 256)).alias("sha")).agg(best("id").alias("own_id"), F.count(F.lit(1)).alias("own_size"))
 
     own = F.col("own_size").isNotNull()
-    out = rows.join(groups, "h").join(split, ["h", "text_sha256"], "left")
+    out = rows.join(groups, "h").join(split, ["h", "sha"], "left")
     out = out.withColumn("keep_id", F.when(own, F.col("own_id")).otherwise(F.col("keep_id")))
     out = out.withColumn("group_size", F.coalesce("own_size", "group_size").cast("long"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id"))).drop("own_id", "own_size")
@@ -53,11 +62,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows repeated with id and text, the least in all columns stays."""
-    stay = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col("h").alias("keep_h"), F.col("id").alias("keep_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(ascii_lower(text_of(text_col)))).alias("h"))
-    rows = rows.join(stay, (F.col("h") == F.col("keep_h")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    stay = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col("raw").alias("keep_raw"), F.col("id").alias("keep_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("raw"))
+    rows = rows.join(stay, (F.col("raw") == F.col("keep_raw")) & F.col("id").eqNullSafe(F.col("keep_id")))
     order = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
-    first = F.row_number().over(Window.partitionBy("h", "id").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy("raw", "id").orderBy(*order))
     return rows.withColumn("n", first).filter("n = 1").select("row.*")
 
 
@@ -65,7 +74,7 @@ def with_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     groups = exact_groups(without(docs, "keep_id", "group_size", "kept", "text_sha256"), keep=keep)
     one = groups.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return one.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("kept") & (F.col("i") == 1)).alias("kept"), "text_sha256")
+    return one.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("kept") & (F.col("i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 SQL = f"""
