@@ -19,6 +19,7 @@ their own; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,41 +36,92 @@ END_ID = 1
 #: Pieces of more than capacity / SMALL tokens are grouped; the others fill up.
 SMALL = 8
 GROUPS = 192
-#: Words whose ids a worker remembers, at most.
-MEMO_WORDS = 300_000
+#: Memory for the ids of words that a worker remembers, and texts that are looked up together.
+MEMO_BYTES, TOGETHER = 150_000_000, 400
+#: After letters, a run of these is one part of a word.
+SYMBOLS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words that are given to the tokenizer as one text.
+JOINED = 200
 
 
-class _Ids(dict):
-    """Ids (little-endian, 32 bits each) of the tokens of a word, by the tokenizer. Its pre-tokenizer never joins across
-    blanks, parts letters from punctuation and reads A-Z as a-z, so words are looked up by their parts."""
+class WordIds:
+    """Ids (little-endian, 32 bits each) of the tokens of words, by the tokenizer.
+
+    Its pre-tokenizer never joins across blanks and parts letters from punctuation, and the last token of a run of letters
+    is marked as a word's end. So each distinct word is tokenized once, runs of letters many at a time, and a text's ids
+    are those of its words. Where the count of ends isn't that of the words, they are tokenized one by one.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, w: bytes) -> bytes:
-        if w.isascii() and w.isalpha() and not w.islower():
-            ids = self[w.lower()]
-        elif w[-1:] in b".," and len(w) > 1 and w.isascii() and w[:-1].isalpha():
-            ids = self[w[:-1]] + self[w[-1:]]
-        else:
-            ids = np.array(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(w) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[w] = ids
-        return ids
-
-
-_memos: dict[str, _Ids] = {}
-
-
-def document_ids(text: bytes, tokenizer_path: str) -> bytes:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(group) and stops[-1] == 4 * len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(group, stops.tolist(), strict=True):
+                    self.memo[w] = raw[at:stop]
+                    at = stop
+            else:
+                self.memo.update((w, self._one(w)) for w in group)
+
+    def learn(self, words: set[bytes]) -> None:
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
+        memo = self.memo
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words.difference(memo):
+            core = w.rstrip(SYMBOLS)
+            if core.isalpha():
+                parts[w] = core.lower(), w[len(core) :]
+            elif core and not core.isascii() and core.decode().isalpha():
+                parts[w] = core, w[len(core) :]
+            else:
+                memo[w] = self._one(w)
+            self.held += 200 + 5 * len(w)
+        self._letters(list({core for core, _ in parts.values()}.difference(memo)))
+        for w, (core, tail) in parts.items():
+            if tail:
+                if tail not in memo:
+                    memo[tail] = self._one(tail)
+                memo[w] = memo[core] + memo[tail]
+            elif w is not core:
+                memo[w] = memo[core]
+
+    def documents(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, with the end token."""
+        end = END_ID.to_bytes(4, "little")
+        for i in range(0, len(texts), TOGETHER):
+            split = [t.split() for t in texts[i : i + TOGETHER]]
+            self.learn(set().union(*split))
+            find = self.memo.__getitem__
+            for words in split:
+                yield b"".join(map(find, words)) + end
+
+
+_memos: dict[str, WordIds] = {}
+
+
+def document_ids(texts: list[bytes], tokenizer_path: str) -> Iterator[bytes]:
     if tokenizer_path not in _memos:
-        _memos[tokenizer_path] = _Ids(tokenizer_path)
-    return b"".join(map(_memos[tokenizer_path].__getitem__, text.split())) + END_ID.to_bytes(4, "little")
+        _memos[tokenizer_path] = WordIds(tokenizer_path)
+    return _memos[tokenizer_path].documents(texts)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -78,8 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = document_ids(text, tokenizer_path)
+            for i, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).cast(pa.binary()).to_pylist(), tokenizer_path), strict=True):
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
