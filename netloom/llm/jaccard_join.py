@@ -5,17 +5,24 @@ reaches num / den. If they do, they differ in at most D = floor(m * (den - num)
 
 Tiles: sizes fall into bands; for a band, D of its largest size holds for all of it. Elements are dealt by hash into
 D + 1 + slack segments, so linked sets agree in at least slack + 1 segments whole. A tile is (band, segment, its contents): any
-two linked sets share one. A set is dealt for its own band and for those lower bands in which a linked smaller set can be.
-Empty segments are no tiles, unless a set has more of them than the slack covers. So no link is lost.
-
-Inside tiles no group is turned into all of its pairs. In rounds, each member of a tile meets a few pivots of the tile;
-what is linked is merged into components; a tile whose members are in one component is done, and pivots, which
-have met everyone, leave. Rounds go on until no tile holds two components, which is exact for components.
+two linked sets share slack + 1 of them. A set is dealt for its own band and for those lower bands in which a linked smaller set
+can be. Tiles have one order for all sets: empty segments first, then by how many sets they hold, common ones first. Each
+set leaves the first `slack` of its tiles; as linked sets share more than that, the last tile that they share is left by
+neither, and no link is lost. What only common passages have made alike is left, and so is every set that shares too few tiles.
+
+Inside tiles no group is turned into all of its pairs. First each member of a tile meets only the tile's pivot, and what
+links is merged into components. Where a tile still holds two components, its members are described by their differences
+from the pivot. Two sets that link are unlike the pivot in the same elements: of |dx| and |dy| differences they share at
+least t = (|dx| + |dy| - T) / 2, where T is the most that linked sets of their sizes differ in, and t is at least 1 for sets
+of two components, as two sets closer to the pivot than that would both be linked with it. So a prefix of each list of
+differences, rare ones first, is joined by pivot and element, and pairs whose first common element stands too late for t
+to follow, or whose lists' own 256-bit signatures differ in more than T bits, are never made. Before that, a few rounds in which each set meets one other of its element merge most of what
+links, so the join, which makes pairs of different components only, ends exact and small.
 
 A pair is first bounded: the bits in which two 1024-bit signatures differ are at most the elements in which the sets
 differ, so the overlap is at most (|A| + |B| - bits) / 2. Only pairs that pass go on to the exact intersection of their sorted arrays.
 
-Equal sets are one class from the start. All state is in Spark tables; nothing but loop counters reaches the driver.
+Equal sets are one class from the start. All state is in Spark tables; nothing of it reaches the driver.
 
 Defined results: null and empty texts have no shingles, size 0, and link with nothing; texts of fewer words than a shingle
 are one shingle; rows repeated or with equal sets are linked; a null id takes part and never names a component unless all its
@@ -38,10 +45,13 @@ from netloom.llm.common import kept, text_of, written
 #: Sizes of a band are within this ratio.
 RATIO = 1.5
 SIGNATURE_BITS = 1024
-#: Tiles of at most so many sets are compared whole; larger ones by so many pivots a round.
-WHOLE, PIVOTS = 24, 12
+#: A segment more for so many elements in which linked sets may differ.
+SLACK = 6
 MEMO_WORDS = 400_000
 
+#: Rounds in which each set meets one set for each of its differences, before the exact join of differences.
+ROUNDS = 2
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -96,16 +106,18 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int]:
     differ = (BANDS[band + 1] - 1) * (den - num) // num
     if not differ:
         return 0, 0
-    slack = 1 + differ // 20
+    slack = 2 + differ // SLACK
     return differ + 1 + slack, slack
 
 
-def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the tiles that a set belongs to."""
+def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the tiles that a set belongs to, and for each band how many more of its tiles it leaves, as band << 32 | count.
+    A key has its band in its lowest 7 bits and a mark for empty segments in the eighth. Empty segments that are left
+    anyway get no key."""
     n = len(s)
     own = bisect_right(BANDS, n) - 1
     least = -(-n * num // den)
-    out = []
+    out, leave = [], []
     with np.errstate(over="ignore"):
         contents = _mix(s + _GOLD)
         for band in range(own, -1, -1):
@@ -121,8 +133,11 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             sums = total[edges[1:]] - total[edges[:-1]]
             full = edges[1:] > edges[:-1]
             keys = _mix(_mix(sums + np.uint64(band + 1) * _GOLD) + np.arange(k, dtype=np.uint64) * _A)
-            out.append(keys[full] if k - int(full.sum()) <= slack else keys)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = (keys & ~np.uint64(255)) | np.uint64(band) | np.where(full, np.uint64(0), np.uint64(128))
+            empty = k - int(full.sum())
+            out.append(keys[full] if empty <= slack else keys)
+            leave.append(band << 32 | (slack - empty if empty <= slack else slack))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), leave
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -136,12 +151,12 @@ def links(overlap: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, n
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document: id, two hashes that name its text, size, two hashes that name its set, signature, tile keys."""
+    """A row for each document: id, two hashes that name its text, size, two hashes that name its set, signature, tile keys, tiles to leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda rows: pa.array([np.uint64(x).astype(np.int64) for x in rows], pa.int64())
         for b in batches:
-            sizes, ones, twos, marks, keys = [], [], [], [], []
+            sizes, ones, twos, marks, keys, leave = [], [], [], [], [], []
             for text in b.column(3).cast(pa.binary()).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
@@ -149,12 +164,14 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
                     ones.append(_mix(s).sum(dtype=np.uint64))
                     twos.append(_mix(s ^ _B).sum(dtype=np.uint64))
                 marks.append(signature(s))
-                keys.append(tile_keys(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                k, left = tile_keys(s, num, den) if len(s) else (s, [])
+                keys.append(k.view(np.int64))
+                leave.append(left)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), signed(ones), signed(twos), pa.array(marks, pa.binary()), lists], names=["id", "k1", "k2", "n", "c1", "c2", "mark", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), signed(ones), signed(twos), pa.array(marks, pa.binary()), lists, pa.array(leave, pa.list_(pa.int64()))], names=["id", "k1", "k2", "n", "c1", "c2", "mark", "keys", "leave"])
 
     x = _named(docs, id_col, text_col).select("id", "k1", "k2", "text")
-    return x.mapInArrow(run, "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>")
+    return x.mapInArrow(run, "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>, leave array<long>")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,6 +179,27 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("k1"), F.xxhash64(F.lit(7), text, F.col(id_col).cast("long")).alias("k2"), text.alias("text"))
 
 
+class _Sets(dict):
+    """Sets of the texts met last."""
+
+    def __init__(self, n: int):
+        super().__init__()
+        self.n = n
+
+    def __missing__(self, text: bytes) -> np.ndarray:
+        if len(self) >= 32:
+            self.clear()
+        s = self[text] = shingles(text, self.n)
+        return s
+
+
+def _with(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
+    """Pairs (a, b) with columns of both sets."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("cls").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in names]), side)
+    return pairs.select("a", "b", *[f"{n}_{side}" for n in names for side in "ab"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link: bounded by sizes and signatures first, and only then intersected."""
 
@@ -169,36 +207,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, SIGNATURE_BITS // 64) for i in (3, 5)]
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, SIGNATURE_BITS // 64) for i in (4, 5)]
             differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)
             most = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(links(most, na, nb, num, den)))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, np.ndarray] = {}
-
-        def of(text: bytes) -> np.ndarray:
-            if text not in memo:
-                if len(memo) >= 32:
-                    memo.clear()
-                memo[text] = shingles(text, n)
-            return memo[text]
-
+        of = _Sets(n)
         for b in batches:
             if not b.num_rows:
                 continue
             ok = []
             for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                y, x = of(y), of(x)
+                y, x = of[y], of[x]
                 ok.append(bool(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    small = lambda side: sets.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("mark").alias(f"mark_{side}"))
-    text = lambda side: sets.select(F.col("cls").alias(side), F.col("text").alias(f"text_{side}"))
-    pairs = pairs.join(small("a"), "a").join(small("b"), "b").select("a", "b", "n_a", "mark_a", "n_b", "mark_b")
-    pairs = pairs.filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).mapInArrow(bounded, "a long, b long")
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+    pairs = _with(pairs, sets, "n", "mark").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).mapInArrow(bounded, "a long, b long")
+    return _with(pairs, sets, "text").mapInArrow(exact, "a long, b long")
+
+
+def apart(n_sum: int, num: int, den: int) -> int:
+    """The most elements in which linked sets differ whose sizes have this sum."""
+    return (den - num) * n_sum // (den + num)
+
+
+def differences(x: np.ndarray, pivot: np.ndarray, num: int, den: int, common: np.ndarray, rank: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many elements x and the pivot don't share, the first of them that any partner of x can need (by hash, and after
+    them the pivot's common differences (sorted), by their rank), and a signature of all, of 4 x 64 bits."""
+    found = np.setxor1d(x, pivot, assume_unique=True)
+    size = len(found)
+    most = apart(len(x) + len(x) * den // num, num, den)
+    t = max(1, (size + max(0, size - most) - most + 1) // 2)
+    bits = np.zeros(256, np.uint8)
+    bits[(found >> np.uint64(40)).astype(np.int64) & 255] = 1
+    mark = np.packbits(bits).view(np.int64)
+    if len(common) and size:
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        order = np.where(common[at] == found, rank[at] + 1, 0)
+        found = found[np.argsort(order, kind="stable")]
+    return size, found[: max(0, size - t + 1)], mark
+
+
+MARKS = ("m0", "m1", "m2", "m3")
+#: A difference is common if so many sets of its pivot have it, and at least one in so many of them.
+COMMON, COMMON_SHARE = 4, 512
+
+
+def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """For pivots with many sets, the differences that many have, with their ranks by frequency: pivot, common.
+    Only sets not far from the pivot are counted; any order that all sets of a pivot share is a right one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Sets(n)
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                found = []
+                for x, y in zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                    y, x = of[y], of[x]
+                    d = np.setxor1d(x, y, assume_unique=True)
+                    found.append(d if len(d) <= 4 * apart(len(x) + len(y), num, den) else d[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(1).to_numpy(), [len(d) for d in found])), pa.array(np.concatenate(found).view(np.int64))], names=["pivot", "element"])
+
+    many = unlike.groupBy("b").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= 2 * COMMON)
+    rows = _with(unlike.join(many, "b", "left_semi").select("a", "b"), sets, "text").mapInArrow(run, "pivot long, element long")
+    counts = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("c")).join(many.withColumnRenamed("b", "pivot"), "pivot")
+    counts = counts.filter((F.col("c") >= COMMON) & (F.col("c") * COMMON_SHARE >= F.col("sets")))
+    return counts.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("common"))
+
+
+def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """pivot, cls, n, size, place, element, mark: the prefixes of the differences of each set (a) from its pivot (b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Sets(n)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sizes, lengths, prefixes, marks = [], [], [], []
+                now, common, rank = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for k, (x, y) in enumerate(zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True)):
+                    if (pivot := part.column(1)[k].as_py()) != now:
+                        now, values = pivot, part.column(4)[k].as_py() or []
+                        common = np.array([v["element"] for v in values], np.int64).view(np.uint64)
+                        rank = np.argsort(common)
+                        common = common[rank]
+                    y, x = of[y], of[x]
+                    size, prefix, mark = differences(x, y, num, den, common, rank)
+                    sizes.append(size), lengths.append(len(x)), prefixes.append(prefix), marks.append(mark)
+                times = np.array([len(p) for p in prefixes])
+                whole = [np.repeat(part.column(c).to_numpy(), times) for c in (1, 0)] + [np.repeat(np.array(v, np.int64), times) for v in (lengths, sizes)]
+                whole += [np.concatenate([np.arange(k) for k in times]).astype(np.int64), np.concatenate(prefixes).view(np.int64)]
+                whole += [np.repeat(column, times) for column in np.stack(marks, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], names=["pivot", "cls", "n", "size", "place", "element", *MARKS])
+
+    common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b")
+    pairs = _with(unlike.select("a", "b"), sets, "text").join(common, "b", "left").select("a", "b", "text_a", "text_b", "common")
+    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "n", "size", "place", "element", *MARKS)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,27 +323,52 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "comp")
 
 
-def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """Components of the sets in tiles (key, cls, pivot)."""
-    pairs = tiles.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges, found, members = None, None, tiles.filter("cls <> pivot").select("key", "cls")
-    while True:
-        new = kept(_verified(pairs, sets, n, num, den))
-        edges = new if edges is None else edges.union(new)
-        found = components(edges)
-        x = members.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-        seeds = [0, *(int(np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 62))) for i in range(1, PIVOTS))]
-        pick = [F.min(F.col("cls").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"p{i}") for i, s in enumerate(seeds)]
-        left = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"), *pick).filter("low < high")
-        left = left.select("key", (F.col("m") <= WHOLE).alias("whole"), F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots"))
-        members = written(x.join(left, "key"), "tiles")
-        if members.isEmpty():
-            return found
-        chosen = members.filter(F.col("whole") | F.array_contains("pivots", F.col("cls"))).select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-        met = F.col("cls") < F.col("b")
-        met = F.when(F.col("whole") | F.array_contains("pivots", F.col("cls")), met).otherwise(F.lit(True))
-        pairs = members.join(chosen, "key").filter(met & (F.col("comp") != F.col("comp_b"))).select(F.col("cls").alias("a"), "b").distinct()
-        members = members.filter(~F.col("whole") & ~F.array_contains("pivots", F.col("cls"))).select("key", "cls")
+def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, comp: the components of the sets in tiles (key, cls, pivot)."""
+    rest = tiles.filter("cls <> pivot")
+    edges = written(_verified(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets, n, num, den), "links")
+    found = components(edges)
+    x = rest.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    open_tiles = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    unlike = written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "open")
+    if unlike.isEmpty():
+        return found
+    d = written(_differing(unlike, sets, n, num, den), "differences")
+    most = f"({den - num} * (n_a + n_b) div {den + num})"
+    t = F.expr(f"(size_a + size_b - {most} + 1) div 2")
+    can = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    can &= (t <= F.col("size_a") - F.col("place_a")) & (t <= F.col("size_b") - F.col("place_b"))
+    can &= F.expr(" + ".join(f"bit_count({m}_a ^ {m}_b)" for m in MARKS) + f" <= {most}")
+    for turn in range(ROUNDS + 1):
+        now = d.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        one, two = (now.select("pivot", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "n", "size", "place", *MARKS)]) for s in "ab")
+        if turn < ROUNDS:  # one set of each element, another one each time
+            seed = F.lit(int(turn * 0x9E3779B97F4A7C15 % (1 << 62)))
+            chosen = d.groupBy("pivot", "element").agg(F.min(F.col("cls").bitwiseXOR(seed)).bitwiseXOR(seed).alias("cls_b"))
+            two = two.join(chosen, ["pivot", "element", "cls_b"], "left_semi")
+            met = can
+        else:
+            met = can & (F.col("cls_a") < F.col("cls_b"))
+        pairs = one.join(two, (one["pivot"] == two["pivot"]) & (one["element"] == two["element"]) & met)
+        pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+        more = written(_verified(pairs, sets, n, num, den), "links")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            found = components(edges)
+    return found
+
+
+def _tiles(dealt: DataFrame) -> DataFrame:
+    """key, cls, pivot (the least set of the tile) for the tiles that sets (cls, keys, leave) stay in and don't have alone."""
+    rows = dealt.select("cls", F.explode("keys").alias("key"))
+    alone = F.min("cls") < F.max("cls")
+    common = rows.groupBy("key").agg(alone.alias("many"), F.count(F.lit(1)).alias("m")).filter("many").drop("many")
+    rows = rows.join(common, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(127)))
+    order = Window.partitionBy("cls", "band").orderBy(F.col("key").bitwiseAND(F.lit(128)).desc(), F.col("m").desc(), "key")
+    leave = dealt.select("cls", F.explode("leave").alias("x")).select("cls", F.shiftright("x", 32).alias("band"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("first"))
+    rows = written(rows.withColumn("nth", F.row_number().over(order)).join(leave, ["cls", "band"]).filter("nth > first").select("key", "cls"), "stays")
+    shared = rows.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last")
+    return rows.join(shared, "key").select("key", "cls", "pivot")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,10 +377,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     spark = docs.sparkSession
     sets = written(_sets(docs, words, num, den, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = sets.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("row").alias("cls"), F.min("id").alias("first_id"))
-    one = sets.select(F.col("row").alias("cls"), "keys").join(classes.select("cls"), "cls", "left_semi")
-    dealt = one.select("cls", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last")
-    tiles = written(dealt.join(shared, "key").select("key", "cls", "pivot"), "tiles")
+    tiles = written(_tiles(sets.select(F.col("row").alias("cls"), "keys", "leave").join(classes.select("cls"), "cls", "left_semi")), "tiles")
     needed = sets.select(F.col("row").alias("cls"), "n", "mark", "k1", "k2").join(tiles.select("cls").distinct(), "cls", "left_semi")
     texts = _named(docs, id_col, text_col).select("k1", "k2", "text")
     texts = needed.join(texts, ["k1", "k2"]).withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "cls").orderBy(F.lit(0)))).filter("copy = 1")

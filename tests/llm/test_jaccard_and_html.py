@@ -59,9 +59,7 @@ def corpus(seed):
     return [*rows, (None, rows[0][1]), rows[1], (10**6, None), (10**6 + 1, "")]
 
 
-def test_components_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "WHOLE", 4)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+def test_components_against_brute_force(spark):
     for seed, (words, num, den) in enumerate([(3, 90, 100), (5, 80, 100)]):
         rows = corpus(seed)
         d = docs(spark, [(i, t, "s") for i, t in rows])
@@ -72,7 +70,7 @@ def test_components_against_brute_force(spark, monkeypatch):
         assert stay.columns == d.columns and stay.count() == len(heads)
 
 
-def test_linked_sets_share_a_tile():
+def test_linked_sets_share_enough_tiles():
     r = random.Random(5)
     for num, den in ((90, 100), (80, 100)):
         for _ in range(300):
@@ -87,11 +85,32 @@ def test_linked_sets_share_a_tile():
             b = np.unique(np.array(b, np.uint64))
             k = len(np.intersect1d(a, b))
             if jaccard_join.links(k, len(a), len(b), num, den) and not np.array_equal(a, b):
-                assert len(np.intersect1d(jaccard_join.tile_keys(a, num, den), jaccard_join.tile_keys(b, num, den)))
+                (x, left_x), (y, left_y) = jaccard_join.tile_keys(a, num, den), jaccard_join.tile_keys(b, num, den)
+                both = np.intersect1d(x, y)
+                leaves = [{z >> 32: z & (1 << 32) - 1 for z in left} for left in (left_x, left_y)]
+                assert any((both & 127 == band).sum() > max(z.get(band, 10**9) for z in leaves) for band in set(leaves[0]) & set(leaves[1]))
                 bits = sum((x ^ y).bit_count() for x, y in zip(jaccard_join.signature(a), jaccard_join.signature(b), strict=True))
                 assert k <= (len(a) + len(b) - bits) // 2
 
 
+def test_groups_of_edited_copies_without_their_base(spark):
+    """Copies of one text, most of them linked only through some of the others."""
+    for seed, (words, num, den) in enumerate([(3, 90, 100), (5, 80, 100), (3, 90, 100)]):
+        r = random.Random(100 + seed)
+        rows = []
+        for base in ([f"w{r.randrange(900)}" for _ in range(n)] for n in (40, 90, 250)):
+            edits = [(r.randrange(len(base)), f"e{i}") for i in range(25)]
+            for _ in range(90):
+                t = list(base)
+                for i, w in r.sample(edits, r.randint(1, max(2, len(base) // 18))):
+                    t[i] = w
+                rows.append((len(rows) * 7 % 1009, " ".join(t)))
+        got = jaccard_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows]), words, num, den).collect()
+        want = brute_components(rows, words, num, den)
+        assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=repr) == want
+        print(len(rows), len({c for _, _, c in want}))
+
+
 def test_join_edges(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard_join.jaccard_components(docs(spark, ODD)).collect()
