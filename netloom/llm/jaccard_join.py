@@ -46,8 +46,8 @@ from netloom.llm.common import kept, text_of, written
 RATIO = 1.5
 SIGNATURE_BITS = 1024
 #: A segment more for so many elements in which linked sets may differ.
-SLACK = 6
-MEMO_WORDS = 400_000
+SLACK = 9
+MEMO_WORDS = 120_000
 
 #: Rounds in which each set meets one set for each of its differences, before the exact join of differences.
 ROUNDS = 2
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda rows: pa.array([np.uint64(x).astype(np.int64) for x in rows], pa.int64())
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             sizes, ones, twos, marks, keys, leave = [], [], [], [], [], []
             for text in b.column(3).cast(pa.binary()).to_pylist():
                 s = shingles(text, n)
@@ -169,6 +169,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
                 leave.append(left)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), signed(ones), signed(twos), pa.array(marks, pa.binary()), lists, pa.array(leave, pa.list_(pa.int64()))], names=["id", "k1", "k2", "n", "c1", "c2", "mark", "keys", "leave"])
+        _words.clear()  # a worker that is used again starts small
 
     x = _named(docs, id_col, text_col).select("id", "k1", "k2", "text")
     return x.mapInArrow(run, "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>, leave array<long>")
@@ -215,10 +216,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Sets(n)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ok = []
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            ok: list[bool] = []
             for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 y, x = of[y], of[x]
                 ok.append(bool(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)))
@@ -250,6 +249,8 @@ def differences(x: np.ndarray, pivot: np.ndarray, num: int, den: int, common: np
     return size, found[: max(0, size - t + 1)], mark
 
 
+#: Sets of a pivot that are streamed together.
+PART = 512
 MARKS = ("m0", "m1", "m2", "m3")
 #: A difference is common if so many sets of its pivot have it, and at least one in so many of them.
 COMMON, COMMON_SHARE = 4, 512
@@ -279,33 +280,46 @@ def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> D
 
 
 def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """pivot, cls, n, size, place, element, mark: the prefixes of the differences of each set (a) from its pivot (b)."""
+    """pivot, cls, n, size, place, element, marks: the prefixes of the differences of each set (a) from its pivot (b).
+
+    A pivot's sets are dealt into parts of bounded size, sorted behind one row with the pivot's common differences, and
+    streamed, so these are held once for each part and not with every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Sets(n)
+        now, common, rank = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sizes, lengths, prefixes, marks = [], [], [], []
-                now, common, rank = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                for k, (x, y) in enumerate(zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True)):
-                    if (pivot := part.column(1)[k].as_py()) != now:
-                        now, values = pivot, part.column(4)[k].as_py() or []
-                        common = np.array([v["element"] for v in values], np.int64).view(np.uint64)
+                rows, prefixes, marks = [], [], []
+                for k, (a, pivot, x, y) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True)):
+                    if a is None:
+                        values = part.column(4)[k].values
+                        common = values.field("element").to_numpy().view(np.uint64)
                         rank = np.argsort(common)
-                        common = common[rank]
+                        now, common = pivot, common[rank]
+                        continue
+                    if pivot != now:
+                        now, common, rank = pivot, common[:0], rank[:0]
                     y, x = of[y], of[x]
                     size, prefix, mark = differences(x, y, num, den, common, rank)
-                    sizes.append(size), lengths.append(len(x)), prefixes.append(prefix), marks.append(mark)
+                    rows.append((pivot, a, len(x), size))
+                    prefixes.append(prefix)
+                    marks.append(mark)
+                if not rows:
+                    continue
                 times = np.array([len(p) for p in prefixes])
-                whole = [np.repeat(part.column(c).to_numpy(), times) for c in (1, 0)] + [np.repeat(np.array(v, np.int64), times) for v in (lengths, sizes)]
+                whole = [np.repeat(np.array(column, np.int64), times) for column in zip(*rows, strict=True)]
                 whole += [np.concatenate([np.arange(k) for k in times]).astype(np.int64), np.concatenate(prefixes).view(np.int64)]
                 whole += [np.repeat(column, times) for column in np.stack(marks, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], names=["pivot", "cls", "n", "size", "place", "element", *MARKS])
 
-    common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b")
-    pairs = _with(unlike.select("a", "b"), sets, "text").join(common, "b", "left").select("a", "b", "text_a", "text_b", "common")
-    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "n", "size", "place", "element", *MARKS)))
+    parts = unlike.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    pairs = _with(unlike.select("a", "b"), sets, "text").join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b").join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = pairs.select("a", "b", "text_a", "text_b", "part").unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return both.select("a", "b", "text_a", "text_b", "common").mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "n", "size", "place", "element", *MARKS)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,8 +375,7 @@ def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
 def _tiles(dealt: DataFrame) -> DataFrame:
     """key, cls, pivot (the least set of the tile) for the tiles that sets (cls, keys, leave) stay in and don't have alone."""
     rows = dealt.select("cls", F.explode("keys").alias("key"))
-    alone = F.min("cls") < F.max("cls")
-    common = rows.groupBy("key").agg(alone.alias("many"), F.count(F.lit(1)).alias("m")).filter("many").drop("many")
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = rows.join(common, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(127)))
     order = Window.partitionBy("cls", "band").orderBy(F.col("key").bitwiseAND(F.lit(128)).desc(), F.col("m").desc(), "key")
     leave = dealt.select("cls", F.explode("leave").alias("x")).select("cls", F.shiftright("x", 32).alias("band"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("first"))
