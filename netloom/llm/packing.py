@@ -37,7 +37,7 @@ END_ID = 1
 SMALL = 8
 GROUPS = 192
 #: Memory for the ids of words that a worker remembers, and texts that are looked up together.
-MEMO_BYTES, TOGETHER = 150_000_000, 400
+MEMO_BYTES, TOGETHER = 70_000_000, 250
 #: After letters, a run of these is one part of a word.
 SYMBOLS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Words that are given to the tokenizer as one text.
@@ -128,14 +128,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for). No shuffle; the tokenizer file is on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).cast(pa.binary()).to_pylist(), tokenizer_path), strict=True):
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
-            kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if keep_ids else [])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+        try:
+            for b in batches:
+                rows = []
+                for i, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).cast(pa.binary()).to_pylist(), tokenizer_path), strict=True):
+                    for k in range(0, len(ids), 4 * capacity):
+                        part = ids[k : k + 4 * capacity]
+                        rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+                kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if keep_ids else [])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+        finally:
+            _memos.clear()  # a worker that is used again starts small
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)

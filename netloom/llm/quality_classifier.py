@@ -162,8 +162,8 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("p_low double, p_toxic double")
     def scores(text: pd.Series) -> pd.DataFrame:
-        p = model.probabilities([("" if t is None else t).encode(errors="replace") for t in text])
-        return pd.DataFrame({f"p_{t}": p[t] for t in TASKS})
+        parts = [model.probabilities([("" if t is None else t).encode(errors="replace") for t in text.iloc[i : i + 500]]) for i in range(0, max(1, len(text)), 500)]
+        return pd.DataFrame({f"p_{t}": np.concatenate([p[t] for p in parts]) for t in TASKS})
 
     own = without(docs, "p_low", "p_toxic")
     return own.withColumn("__p", scores(F.coalesce(F.col("text").cast("string"), F.lit("")))).select("*", "__p.*").drop("__p")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of at most this many bytes are looked up before they are walked; at most so many are remembered by a worker.
-MEMO_BYTES, MEMO_WORDS = 64, 500_000
+MEMO_BYTES, MEMO_WORDS = 64, 250_000
 
 
 class LongestMatch:
@@ -107,8 +107,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         if vocabulary_path not in _built:
             _built[vocabulary_path] = _Memo(LongestMatch(vocabulary(vocabulary_path)))
         memo = _built[vocabulary_path]
-        for b in batches:
-            words = [t.split() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array([sum(map(memo.__getitem__, w)) for w in words], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        try:
+            for whole in batches:
+                for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                    words = [t.split() for t in b.column(1).cast(pa.binary()).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array([sum(map(memo.__getitem__, w)) for w in words], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        finally:
+            _built.clear()  # a worker that is used again starts small
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
