@@ -280,7 +280,7 @@ def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> D
 
 
 def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """pivot, cls, n, size, place, element, marks: the prefixes of the differences of each set (a) from its pivot (b).
+    """pivot, cls, comp, n, size, place, element, marks: the prefixes of the differences of each set (a) from its pivot (b).
 
     A pivot's sets are dealt into parts of bounded size, sorted behind one row with the pivot's common differences, and
     streamed, so these are held once for each part and not with every set."""
@@ -292,6 +292,7 @@ def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 rows, prefixes, marks = [], [], []
+                comps = part.column(5).to_pylist()
                 for k, (a, pivot, x, y) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).cast(pa.binary()).to_pylist(), strict=True)):
                     if a is None:
                         values = part.column(4)[k].values
@@ -303,7 +304,7 @@ def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
                         now, common, rank = pivot, common[:0], rank[:0]
                     y, x = of[y], of[x]
                     size, prefix, mark = differences(x, y, num, den, common, rank)
-                    rows.append((pivot, a, len(x), size))
+                    rows.append((pivot, a, comps[k], len(x), size))
                     prefixes.append(prefix)
                     marks.append(mark)
                 if not rows:
@@ -312,14 +313,26 @@ def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
                 whole = [np.repeat(np.array(column, np.int64), times) for column in zip(*rows, strict=True)]
                 whole += [np.concatenate([np.arange(k) for k in times]).astype(np.int64), np.concatenate(prefixes).view(np.int64)]
                 whole += [np.repeat(column, times) for column in np.stack(marks, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], names=["pivot", "cls", "n", "size", "place", "element", *MARKS])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], names=["pivot", "cls", "comp", "n", "size", "place", "element", *MARKS])
 
     parts = unlike.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    pairs = _with(unlike.select("a", "b"), sets, "text").join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    pairs = _with(unlike.select("a", "b"), sets, "text").join(parts, "b").join(unlike, ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b").join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = pairs.select("a", "b", "text_a", "text_b", "part").unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
+    both = pairs.select("a", "b", "text_a", "text_b", "part", "comp").unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
     both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return both.select("a", "b", "text_a", "text_b", "common").mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "n", "size", "place", "element", *MARKS)))
+    return both.select("a", "b", "text_a", "text_b", "common", "comp").mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "comp", "n", "size", "place", "element", *MARKS)))
+
+
+def _telling(d: DataFrame) -> DataFrame:
+    """The differences that the join needs. An element that sets of one component only have joins no pair to be made. Of
+    elements that the very same sets of a pivot have, the first stands for all: these share one order, so where another one
+    is the first that two sets share, so is it. An edit changes a run of shingles, which comes down to one."""
+    held = d.groupBy("pivot", "element").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c"),
+        F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("h2"), F.min(F.struct("cls", "place")).alias("first"),
+    )
+    alike = held.filter("low < high").groupBy("pivot", "c", "h1", "h2").agg(F.min(F.struct("first.place", "element")).alias("x"))
+    return d.join(alike.select("pivot", "x.element"), ["pivot", "element"], "left_semi").drop("comp")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,7 +360,7 @@ def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
     unlike = written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "open")
     if unlike.isEmpty():
         return found
-    d = written(_differing(unlike, sets, n, num, den), "differences")
+    d = written(_telling(written(_differing(unlike, sets, n, num, den), "differences")), "telling")
     most = f"({den - num} * (n_a + n_b) div {den + num})"
     t = F.expr(f"(size_a + size_b - {most} + 1) div 2")
     can = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
@@ -358,8 +371,8 @@ def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
         one, two = (now.select("pivot", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "n", "size", "place", *MARKS)]) for s in "ab")
         if turn < ROUNDS:  # one set of each element, another one each time
             seed = F.lit(int(turn * 0x9E3779B97F4A7C15 % (1 << 62)))
-            chosen = d.groupBy("pivot", "element").agg(F.min(F.col("cls").bitwiseXOR(seed)).bitwiseXOR(seed).alias("cls_b"))
-            two = two.join(chosen, ["pivot", "element", "cls_b"], "left_semi")
+            chosen = now.groupBy("pivot", "element").agg(F.min(F.col("cls").bitwiseXOR(seed)).bitwiseXOR(seed).alias("cls_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            two = two.join(chosen.filter("low < high"), ["pivot", "element", "cls_b"], "left_semi")
             met = can
         else:
             met = can & (F.col("cls_a") < F.col("cls_b"))
