@@ -49,6 +49,9 @@ SIGNATURE_BITS = 1024
 SLACK = 9
 MEMO_WORDS = 120_000
 
+#: Copies that are dropped by a broadcast of their row numbers; more of them go by shuffles.
+COPIES_SENT = 1_000_000
+
 #: Rounds in which each set meets one set for each of its differences, before the exact join of differences.
 ROUNDS = 2
 
@@ -397,13 +400,22 @@ def _tiles(dealt: DataFrame) -> DataFrame:
     return rows.join(shared, "key").select("key", "cls", "pivot")
 
 
+def _one_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of each class that names it. Keys are most of what is stored, so they aren't shuffled to drop a few copies:
+    up to COPIES_SENT rows to drop are broadcast (8 MB of row numbers); more are joined by shuffles."""
+    copies = sets.filter("n > 0").select("row", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).filter("row <> cls")
+    copies = written(copies.select("row"), "copies")
+    few = copies.count() <= COPIES_SENT
+    return sets.filter("n > 0").join(F.broadcast(copies) if few else copies.hint("merge"), "row", "left_anti")
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, stays (one row of each component: that of the least id), k1, k2 (the text's name)
     for every row."""
     spark = docs.sparkSession
     sets = written(_sets(docs, words, num, den, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = sets.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("row").alias("cls"), F.min("id").alias("first_id"))
-    tiles = written(_tiles(sets.select(F.col("row").alias("cls"), "keys", "leave").join(classes.select("cls"), "cls", "left_semi")), "tiles")
+    tiles = written(_tiles(_one_each(sets, classes).select(F.col("row").alias("cls"), "keys", "leave")), "tiles")
     needed = sets.select(F.col("row").alias("cls"), "n", "mark", "k1", "k2").join(tiles.select("cls").distinct(), "cls", "left_semi")
     texts = _named(docs, id_col, text_col).select("k1", "k2", "text")
     texts = needed.join(texts, ["k1", "k2"]).withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "cls").orderBy(F.lit(0)))).filter("copy = 1")

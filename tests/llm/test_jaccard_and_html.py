@@ -59,8 +59,9 @@ def corpus(seed):
     return [*rows, (None, rows[0][1]), rows[1], (10**6, None), (10**6 + 1, "")]
 
 
-def test_components_against_brute_force(spark):
+def test_components_against_brute_force(spark, monkeypatch):
     for seed, (words, num, den) in enumerate([(3, 90, 100), (5, 80, 100)]):
+        monkeypatch.setattr(jaccard_join, "COPIES_SENT", 0 if seed else 1_000_000)
         rows = corpus(seed)
         d = docs(spark, [(i, t, "s") for i, t in rows])
         got = jaccard_join.jaccard_components(d, words, num, den).collect()
