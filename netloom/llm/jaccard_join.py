@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import kept, text_of, written
+from netloom.llm.common import kept, text_of, tidy, written
 
 #: Sizes of a band are within this ratio.
 RATIO = 1.5
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
         _words.clear()  # a worker that is used again starts small
 
     x = _named(docs, id_col, text_col).select("id", "k1", "k2", "text")
-    return x.mapInArrow(run, "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>, leave array<long>")
+    return x.mapInArrow(tidy(run), "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>, leave array<long>")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -226,8 +226,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
                 ok.append(bool(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = _with(pairs, sets, "n", "mark").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).mapInArrow(bounded, "a long, b long")
-    return _with(pairs, sets, "text").mapInArrow(exact, "a long, b long")
+    pairs = _with(pairs, sets, "n", "mark").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).mapInArrow(tidy(bounded), "a long, b long")
+    return _with(pairs, sets, "text").mapInArrow(tidy(exact), "a long, b long")
 
 
 def apart(n_sum: int, num: int, den: int) -> int:
@@ -276,7 +276,7 @@ def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(1).to_numpy(), [len(d) for d in found])), pa.array(np.concatenate(found).view(np.int64))], names=["pivot", "element"])
 
     many = unlike.groupBy("b").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= 2 * COMMON)
-    rows = _with(unlike.join(many, "b", "left_semi").select("a", "b"), sets, "text").mapInArrow(run, "pivot long, element long")
+    rows = _with(unlike.join(many, "b", "left_semi").select("a", "b"), sets, "text").mapInArrow(tidy(run), "pivot long, element long")
     counts = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("c")).join(many.withColumnRenamed("b", "pivot"), "pivot")
     counts = counts.filter((F.col("c") >= COMMON) & (F.col("c") * COMMON_SHARE >= F.col("sets")))
     return counts.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("common"))
@@ -323,7 +323,7 @@ def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
     common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b").join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = pairs.select("a", "b", "text_a", "text_b", "part", "comp").unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
     both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return both.select("a", "b", "text_a", "text_b", "common", "comp").mapInArrow(run, ", ".join(f"{c} long" for c in ("pivot", "cls", "comp", "n", "size", "place", "element", *MARKS)))
+    return both.select("a", "b", "text_a", "text_b", "common", "comp").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("pivot", "cls", "comp", "n", "size", "place", "element", *MARKS)))
 
 
 def _telling(d: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import written
+from netloom.llm.common import tidy, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
             _memos.clear()  # a worker that is used again starts small
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return texts.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 Place = tuple[int, int, int, int, int]
@@ -322,7 +322,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences[i] + rank), pa.array(offsets[i])], names=[*names, "sequence_id", "offset"])
 
-    return ranked(cut).select(*names, "rank").mapInArrow(run, schema)
+    return ranked(cut).select(*names, "rank").mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

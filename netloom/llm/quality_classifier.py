@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import kept, without
+from netloom.llm.common import kept, tidy, without
 
 MOST_LABELS = 12_000
 #: Words of each lexicon, at most; a word enters when it follows so many different words in its class, with log odds of
@@ -136,7 +135,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model
                 n = len(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([lo] * n, pa.int32()), pa.array([to] * n, pa.int32())], names=["after", "word", "low", "toxic"])
 
-    contexts = sample.select("text", *TASKS).mapInArrow(words, "after string, word string, low int, toxic int").groupBy("word", "after").agg(*[F.avg(t).alias(t) for t in TASKS])
+    contexts = sample.select("text", *TASKS).mapInArrow(tidy(words), "after string, word string, low int, toxic int").groupBy("word", "after").agg(*[F.avg(t).alias(t) for t in TASKS])
     counts = kept(contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TASKS]))
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0.0)).alias(t) for t in TASKS]).first()
     model = Model()
@@ -150,7 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model
             x = [model.features(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "low", "toxic", "x"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(features, "doc_id long, low int, toxic int, x array<double>").collect()))
+    rows = sorted(map(tuple, sample.mapInArrow(tidy(features), "doc_id long, low int, toxic int, x array<double>").collect()))
     x = np.array([r[3] for r in rows], float).reshape(len(rows), N_STATS + 2 * len(TASKS))
     for i, t in enumerate(TASKS):
         model.models[t] = logistic(_columns(t, x), np.array([r[1 + i] for r in rows], float))
@@ -160,10 +159,16 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs with p_low and p_toxic, each document's own probabilities. No shuffle."""
 
-    @F.pandas_udf("p_low double, p_toxic double")
-    def scores(text: pd.Series) -> pd.DataFrame:
-        parts = [model.probabilities([("" if t is None else t).encode(errors="replace") for t in text.iloc[i : i + 500]]) for i in range(0, max(1, len(text)), 500)]
-        return pd.DataFrame({f"p_{t}": np.concatenate([p[t] for p in parts]) for t in TASKS})
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            parts = [model.probabilities(text.slice(i, 500).cast(pa.binary()).to_pylist()) for i in range(0, max(1, len(text)), 500)]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[t] for p in parts])) for t in TASKS], names=[f"p_{t}" for t in TASKS])
+
+    tidied = tidy(run)
+
+    @F.arrow_udf("p_low double, p_toxic double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(batches)
 
     own = without(docs, "p_low", "p_toxic")
     return own.withColumn("__p", scores(F.coalesce(F.col("text").cast("string"), F.lit("")))).select("*", "__p.*").drop("__p")
