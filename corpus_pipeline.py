@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import exact_dedup, jaccard_join, mixing, packing, quality_classifier
-from netloom.llm.common import table, written
+from netloom.llm.common import Scratch, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+    with Scratch(spark) as scratch:
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            docs = scratch.written(stage(spark, docs, sf_dir), f"stage{i}")
+            scratch.drop(f"stage{i - 1}")
+        return written(STAGES[-1][1](spark, docs, sf_dir), "pipeline")

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -77,18 +78,67 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def _shuffles_given_up(spark: SparkSession) -> Iterator[None]:
+    """What runs inside deletes its shuffle files when it ends, not when the driver happens to collect its garbage. Its
+    result is in a table or a checkpoint by then. Executors that are lost meanwhile are made up for as ever."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _written_to(df: DataFrame, path: str) -> DataFrame:
+    with _shuffles_given_up(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/netloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written_to(df, f"{scratch_dir(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables between the steps of an operator, in the shared folder. They are deleted when the block ends, so what
+    leaves it is written() first."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{scratch_dir(spark)}/netloom/steps-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        made = self.paths.setdefault(name, [])
+        made.append(f"{self.folder}/{name}-{len(made)}")
+        return _written_to(df, made[-1])
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, which no later step reads."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small frames inside loops."""
     scratch_dir(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_given_up(df.sparkSession):
+        return df.checkpoint()
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

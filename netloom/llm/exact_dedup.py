@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import LOWER, UPPER, ascii_lower, text_of, without, written
+from netloom.llm.common import LOWER, UPPER, Scratch, ascii_lower, text_of, without, written
 
 #: Members of one group that meet one copy of the keeper's bytes; larger groups are salted into more parts.
 PER_SALT = 512
@@ -23,11 +23,11 @@ def content_hash(t: Column) -> Column:
     return F.unhex(F.md5(t))
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _digests(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """id, content hash, SHA-256 and a hash of the raw text for every row: the one pass that normalises all texts. It is
     written, as every step after it starts there."""
     t = ascii_lower(text_of(text_col))
-    return written(docs.select(F.col(id_col).alias("id"), content_hash(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("sha"), F.xxhash64(text_of(text_col)).alias("raw")), "digests")
+    return scratch.written(docs.select(F.col(id_col).alias("id"), content_hash(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("sha"), F.xxhash64(text_of(text_col)).alias("raw")), "digests")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -37,8 +37,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes: each member of a group with more than one row meets the keeper's text, in salted parts of bounded size.
     A group in which bytes differ (a collision of the hash) is split into groups of equal bytes.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_groups(docs, id_col, text_col, keep, scratch), "groups")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, scratch: Scratch) -> DataFrame:
     best = {"smallest": F.min, "largest": F.max}[keep]
-    digests = _digests(docs, id_col, text_col)
+    digests = _digests(docs, id_col, text_col, scratch)
     rows = digests.groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("raw"))
     groups = rows.groupBy("h").agg(best("id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
 
@@ -46,7 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = digests.select("h", "id", "raw").distinct().join(multiple, "h")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("raw", F.xxhash64("text"))
     found = texts.alias("a").join(members.alias("m"), (F.col("a.raw") == F.col("m.raw")) & F.col("a.id").eqNullSafe(F.col("m.id")))
-    found = written(found.select("m.h", "a.id", "m.keep_id", "m.parts", ascii_lower(F.col("a.text")).alias("t")), "members")
+    found = scratch.written(found.select("m.h", "a.id", "m.keep_id", "m.parts", ascii_lower(F.col("a.text")).alias("t")), "members")
     found = found.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     keeper = found.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.max("t").alias("keep_t"), F.max("parts").alias("parts"))
     keeper = keeper.select("h", "keep_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import kept, text_of, tidy, written
+from netloom.llm.common import Scratch, kept, text_of, tidy, written
 
 #: Sizes of a band are within this ratio.
 RATIO = 1.5
@@ -353,17 +353,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "comp")
 
 
-def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """node, comp: the components of the sets in tiles (key, cls, pivot)."""
     rest = tiles.filter("cls <> pivot")
-    edges = written(_verified(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets, n, num, den), "links")
+    edges = scratch.written(_verified(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets, n, num, den), "links")
     found = components(edges)
     x = rest.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_tiles = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    unlike = written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "open")
+    unlike = scratch.written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "open")
     if unlike.isEmpty():
         return found
-    d = written(_telling(written(_differing(unlike, sets, n, num, den), "differences")), "telling")
+    d = scratch.written(_telling(scratch.written(_differing(unlike, sets, n, num, den), "differences")), "telling")
+    scratch.drop("differences", "open")
     most = f"({den - num} * (n_a + n_b) div {den + num})"
     t = F.expr(f"(size_a + size_b - {most} + 1) div 2")
     can = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
@@ -381,30 +382,30 @@ def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
             met = can & (F.col("cls_a") < F.col("cls_b"))
         pairs = one.join(two, (one["pivot"] == two["pivot"]) & (one["element"] == two["element"]) & met)
         pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        more = written(_verified(pairs, sets, n, num, den), "links")
+        more = scratch.written(_verified(pairs, sets, n, num, den), "links")
         if not more.isEmpty():
             edges = edges.union(more)
             found = components(edges)
     return found
 
 
-def _tiles(dealt: DataFrame) -> DataFrame:
+def _tiles(dealt: DataFrame, scratch: Scratch) -> DataFrame:
     """key, cls, pivot (the least set of the tile) for the tiles that sets (cls, keys, leave) stay in and don't have alone."""
     rows = dealt.select("cls", F.explode("keys").alias("key"))
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = rows.join(common, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(127)))
     order = Window.partitionBy("cls", "band").orderBy(F.col("key").bitwiseAND(F.lit(128)).desc(), F.col("m").desc(), "key")
     leave = dealt.select("cls", F.explode("leave").alias("x")).select("cls", F.shiftright("x", 32).alias("band"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("first"))
-    rows = written(rows.withColumn("nth", F.row_number().over(order)).join(leave, ["cls", "band"]).filter("nth > first").select("key", "cls"), "stays")
+    rows = scratch.written(rows.withColumn("nth", F.row_number().over(order)).join(leave, ["cls", "band"]).filter("nth > first").select("key", "cls"), "stays")
     shared = rows.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last")
     return rows.join(shared, "key").select("key", "cls", "pivot")
 
 
-def _one_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
+def _one_each(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """The row of each class that names it. Keys are most of what is stored, so they aren't shuffled to drop a few copies:
     up to COPIES_SENT rows to drop are broadcast (8 MB of row numbers); more are joined by shuffles."""
     copies = sets.filter("n > 0").select("row", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).filter("row <> cls")
-    copies = written(copies.select("row"), "copies")
+    copies = scratch.written(copies.select("row"), "copies")
     few = copies.count() <= COPIES_SENT
     return sets.filter("n > 0").join(F.broadcast(copies) if few else copies.hint("merge"), "row", "left_anti")
 
@@ -412,15 +413,20 @@ def _one_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, stays (one row of each component: that of the least id), k1, k2 (the text's name)
     for every row."""
-    spark = docs.sparkSession
-    sets = written(_sets(docs, words, num, den, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_components(docs, words, num, den, id_col, text_col, scratch), "components")
+
+
+def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    sets = scratch.written(_sets(docs, words, num, den, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = sets.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("row").alias("cls"), F.min("id").alias("first_id"))
-    tiles = written(_tiles(_one_each(sets, classes).select(F.col("row").alias("cls"), "keys", "leave")), "tiles")
+    tiles = scratch.written(_tiles(_one_each(sets, classes, scratch).select(F.col("row").alias("cls"), "keys", "leave"), scratch), "tiles")
+    scratch.drop("stays", "copies")
     needed = sets.select(F.col("row").alias("cls"), "n", "mark", "k1", "k2").join(tiles.select("cls").distinct(), "cls", "left_semi")
     texts = _named(docs, id_col, text_col).select("k1", "k2", "text")
     texts = needed.join(texts, ["k1", "k2"]).withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "cls").orderBy(F.lit(0)))).filter("copy = 1")
-    texts = written(texts.select("cls", "n", "mark", "text"), "texts")
-    found = _merged(tiles, texts, words, num, den) if not tiles.isEmpty() else spark.createDataFrame([], "node long, comp long")
+    texts = scratch.written(texts.select("cls", "n", "mark", "text"), "texts")
+    found = _merged(tiles, texts, words, num, den, scratch) if not tiles.isEmpty() else docs.sparkSession.createDataFrame([], "node long, comp long")
 
     whole = classes.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     heads = whole.groupBy("comp").agg(F.min("first_id").alias("component_id"))
