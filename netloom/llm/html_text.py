@@ -1,7 +1,9 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages stand in the order of host, path and id. Each is paired with the neighbour of its host whose path shares the longer
-beginning; the text lines of both are aligned by a longest common subsequence and shared lines are deleted.
+Pages stand in the order of host, path and id. Each is paired with one of two pages of its host, the last before and the
+first after it that have a body and not the same one, whose path shares the longer beginning; the text lines of both are
+aligned by a longest common subsequence and shared lines are deleted. A body is the lines that markup doesn't drop. Pages of
+one body in a row (copies, http and https, query strings that change nothing) and pages without a body are looked past.
 
 Differencing alone would also delete what two articles have in common (quoted passages, copies of an article), and it keeps
 menus that differ between pages, so markup decides first: lines in menus, headers, footers, asides, forms, adverts,
@@ -9,13 +11,15 @@ notices, comments and the like go in any case, and lines inside an article or ma
 them. Lines of pages without such an element are kept or deleted by the alignment.
 
 Defined results: null html and null urls are empty; an empty page has an empty text; a page alone on its host has
-nothing to share; repeated pages are neighbours of each other, and their articles stay; unclosed tags and quotes end with
-the page; an empty table gives an empty result; extra columns are ignored.
+nothing to share, nor has one whose host has copies of it only; copies are differenced with the next other page, and their
+articles stay; unclosed tags and quotes end with the page; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
@@ -48,6 +52,9 @@ NAMED = frozenset(
 HEADERS = frozenset("header banner topbar".split())
 MAIN = frozenset(("article", "main"))
 
+#: Bytes of a row of copies that are held in memory while the page after them is looked for; more go to a file of the task.
+HELD = 1 << 24
+
 
 def _attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(s)} if s.strip(" \t\r\n\f/") else {}
@@ -183,27 +190,61 @@ def _common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def body_of(page: list[Line]) -> list[str]:
+    return [x for x, region in page if region != "out"]
+
+
+def _paired(pages: Iterator[tuple]) -> Iterator[tuple]:
+    """page_id, url and text of sorted pages (page_id, url, host, path, lines). Pages of one body in a row are held until
+    the next other page of the host is there, in a file when they are many; else three pages are held."""
+    host = body = before = last = None  # before, last: path and lines of the last page of the run before, of this run
+    n = 0
+    with tempfile.SpooledTemporaryFile(HELD) as run:
+
+        def ended(after: tuple | None) -> Iterator[tuple]:
+            run.seek(0)
+            lines, done = None, {}
+            for _ in range(n):
+                page_id, url, path, own = pickle.load(run)
+                if own is not None:
+                    lines, done = own, {}
+                best = max((x for x in (before, after) if x is not None), key=lambda x: _common(x[0], path), default=None)
+                if id(best) not in done:
+                    done[id(best)] = main_text(lines, best[1] if best else None)
+                yield page_id, url, done[id(best)]
+            run.seek(0)
+            run.truncate()
+
+        for page_id, url, at, path, lines in pages:
+            words = body_of(lines)
+            if not words:
+                yield page_id, url, ""
+                continue
+            if at != host or words != body:
+                yield from ended((path, lines) if at == host else None)
+                before = last if at == host else None
+                host, body, last, n = at, words, None, 0
+            pickle.dump((page_id, url, path, None if last and last[1] == lines else lines), run)
+            last, n = (path, lines), n + 1
+        yield from ended(None)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sorted pages and holds three of them at a time."""
+    """Streams sorted pages."""
 
     def pages() -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("page_id", "url", "host", "path", "html")), strict=True)
-        yield None
+            for page_id, url, host, path, html in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("page_id", "url", "host", "path", "html")), strict=True):
+                yield page_id, url, host, path, lines_of(html)
 
     rows: list[tuple] = []
-    before = now = None
-    for page in pages():
-        after = None if page is None else (*page[:4], lines_of(page[4]))
-        if now is not None:
-            near = [x for x in (before, after) if x is not None and x[2] == now[2]]
-            best = max(near, key=lambda x: _common(x[3], now[3]), default=None)
-            text = main_text(now[4], best[4] if best else None)
-            rows.append((now[0], now[1], text, len(text)))
-            if len(rows) >= 512 or page is None:
-                yield _batch(rows)
-                rows = []
-        before, now = now, after
+    for page_id, url, text in _paired(pages()):
+        rows.append((page_id, url, text, len(text)))
+        if len(rows) >= 512:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

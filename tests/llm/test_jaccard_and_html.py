@@ -158,6 +158,27 @@ def test_differencing_of_pages_without_an_article(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+FRAME = "<body><div>Home</div><div>About us</div>{}<div>All rights reserved</div></body>"
+DDL = "page_id long, url string, html string"
+
+
+def texts(spark, rows, n=1):
+    return {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, DDL), n).collect()}
+
+
+def test_copies_and_empty_pages_are_looked_past(spark, monkeypatch):
+    """Without article elements: copies keep their text and lose the menus; an empty nearest page hides no other one."""
+    one, two = (FRAME.format(f"<p>{x} story</p>") for x in ("first", "second"))
+    advert = one.replace("<body>", "<body><nav>Today</nav>")
+    rows = [(1, "http://h/x/1", one), (2, "https://h/x/1", one), (3, "http://h/x/1?page=2", one), (4, "http://h/x/1#top", advert), (5, "http://h/x/1", None), (6, "http://h/x/2", two), (7, "http://h/x/2", ""), (8, "http://h/x/2", two), (8, "http://h/x/2", two)]
+    for held in (html_text.HELD, 100):
+        monkeypatch.setattr(html_text, "HELD", held)
+        assert texts(spark, rows) == {1: "first story", 2: "first story", 3: "first story", 4: "first story", 5: "", 6: "second story", 7: "", 8: "second story"}
+    page = lambda body: FRAME.format(body)
+    got = texts(spark, [(1, "http://h/x/1", page("<p>first story</p>")), (2, "http://h/x/2", page("<p>second <b>story</b></p><p>ends</p>")), (5, "http://h/x/2", None), (6, "http://g/", one), (7, "http://g/", one)])
+    assert got == {1: "first story", 2: "second story ends", 5: "", **dict.fromkeys((6, 7), "Home About us first story All rights reserved")}
+
+
 def test_pages_query(spark):
     """The pages' articles, read by a plain search of the one template they have."""
     got = {r.page_id: r for r in queries.op2_html_extraction(spark, SF).collect()}
