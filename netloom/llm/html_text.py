@@ -5,6 +5,10 @@ first after it that have a body and not the same one, whose path shares the long
 aligned by a longest common subsequence and shared lines are deleted. A body is the lines that markup doesn't drop. Pages of
 one body in a row (copies, http and https, query strings that change nothing) and pages without a body are looked past.
 
+The order is cut into ranges, a task each. A first pass reads what body each page has; from the ends of the ranges follows
+which page beyond a cut a range needs (one on either side at most), and the second pass carries that page over. So the
+result is that of one range, whatever their number.
+
 Differencing alone would also delete what two articles have in common (quoted passages, copies of an article), and it keeps
 menus that differ between pages, so markup decides first: lines in menus, headers, footers, asides, forms, adverts,
 notices, comments and the like go in any case, and lines inside an article or main element stay although a neighbour has
@@ -20,14 +24,19 @@ from __future__ import annotations
 import pickle
 import re
 import tempfile
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from html import unescape
+from itertools import batched
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import Scratch, tidy
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S,
@@ -195,8 +204,9 @@ def body_of(page: list[Line]) -> list[str]:
 
 
 def _paired(pages: Iterator[tuple]) -> Iterator[tuple]:
-    """page_id, url and text of sorted pages (page_id, url, host, path, lines). Pages of one body in a row are held until
-    the next other page of the host is there, in a file when they are many; else three pages are held."""
+    """page_id, url and text of sorted pages (page_id, url, host, path, lines, carried). Pages of one body in a row are held
+    until the next other page of the host is there, in a file when they are many; else three pages are held. Pages carried
+    over from another range are only differenced with."""
     host = body = before = last = None  # before, last: path and lines of the last page of the run before, of this run
     n = 0
     with tempfile.SpooledTemporaryFile(HELD) as run:
@@ -205,9 +215,11 @@ def _paired(pages: Iterator[tuple]) -> Iterator[tuple]:
             run.seek(0)
             lines, done = None, {}
             for _ in range(n):
-                page_id, url, path, own = pickle.load(run)
+                page_id, url, path, own, carried = pickle.load(run)
                 if own is not None:
                     lines, done = own, {}
+                if carried:
+                    continue
                 best = max((x for x in (before, after) if x is not None), key=lambda x: _common(x[0], path), default=None)
                 if id(best) not in done:
                     done[id(best)] = main_text(lines, best[1] if best else None)
@@ -215,7 +227,7 @@ def _paired(pages: Iterator[tuple]) -> Iterator[tuple]:
             run.seek(0)
             run.truncate()
 
-        for page_id, url, at, path, lines in pages:
+        for page_id, url, at, path, lines, carried in pages:
             words = body_of(lines)
             if not words:
                 yield page_id, url, ""
@@ -224,41 +236,129 @@ def _paired(pages: Iterator[tuple]) -> Iterator[tuple]:
                 yield from ended((path, lines) if at == host else None)
                 before = last if at == host else None
                 host, body, last, n = at, words, None, 0
-            pickle.dump((page_id, url, path, None if last and last[1] == lines else lines), run)
+            pickle.dump((page_id, url, path, None if last and last[1] == lines else lines, carried), run)
             last, n = (path, lines), n + 1
         yield from ended(None)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams sorted pages."""
+Key = tuple[str, str, bool, int, int]
+Page = tuple[Key, bytes]  # its place in the order and its body's digest
+ORDER = ("host", "path", "page_id", "tie")
+KEYS = [("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("tie", pa.int64())]
+BODIES = pa.schema([*KEYS, ("body", pa.binary())])
+ENDS = pa.schema([("range", pa.int32()), *BODIES])
+LAID = pa.schema([("range", pa.int32()), *KEYS, ("url", pa.string()), ("carried", pa.bool_()), ("lines", pa.string())])
+MARK = {"other": "o", "main": "m", "out": "-"}
+REGIONS = {v: k for k, v in MARK.items()}
+TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for b in batches:
+        for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
+            yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for part in batched(rows, 512):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def _key(host: str, path: str, page_id: int | None, tie: int) -> Key:
+    """Orders as Spark does: null ids first."""
+    return host, path, page_id is not None, page_id or 0, tie
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each page's body, null where it has none."""
+    rows = ((*key, body_of(lines_of(html))) for *key, html in _rows(batches, *ORDER, "html"))
+    return _batches(((*key, blake2b("\n".join(b).encode(), digest_size=16).digest() if b else None) for *key, b in rows), BODIES)
+
+
+def _seen(state: tuple[Page | None, Page | None], page: Page) -> tuple[Page, Page | None]:
+    """The last page and the last one of its host with another body, after one page more."""
+    last, other = state
+    if last is None or last[0][0] != page[0][0]:
+        return page, None
+    return page, last if last[1] != page[1] else other
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range: its first page; the first one with a body and the first other body of that host; and the same
+    from its end."""
+    first, head, tail = None, [], (None, None)
+    for *key, body in _rows(batches, *ORDER, "body"):
+        page = (_key(*key), body)
+        first = first or page
+        if body is not None:
+            if not head or (len(head) == 1 and head[0][0][0] == page[0][0] and head[0][1] != body):
+                head.append(page)
+            tail = _seen(tail, page)
+    kept = {x[0]: x for x in (first, *head, *tail) if x}
+    at = TaskContext.get().partitionId()
+    yield from _batches(((at, h, p, i if some else None, t, body) for (h, p, some, i, t), body in kept.values()), ENDS)
+
+
+def _cuts(ends: list[tuple]) -> tuple[list[Key], dict[Key, list[int]]]:
+    """The first place of each range, and for the pages that are needed beyond their range, the ranges that need them."""
+    found: dict[int, list[Page]] = {}
+    for at, *key, body in ends:
+        found.setdefault(at, []).append((_key(*key), body))
+    ranges = sorted((sorted(x, key=lambda p: p[0]) for x in found.values()), key=lambda x: x[0][0])
+    carried: dict[Key, list[int]] = {}
+    for step in (1, -1):
+        state = (None, None)
+        for i in range(len(ranges))[::step]:
+            pages = [p for p in ranges[i][::step] if p[1] is not None]
+            if pages and (near := _seen(state, pages[0])[1]):
+                carried.setdefault(near[0], []).append(i)
+            for p in pages:
+                state = _seen(state, p)
+    return [x[0][0] for x in ranges], carried
+
+
+def _lay(first: list[Key], carried: dict[Key, list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parses pages and gives each its range; a page that others need goes to them, too."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        sent = set()
+        for *key, url, html in _rows(batches, *ORDER, "url", "html"):
+            place = _key(*key)
+            lines = "\n".join(MARK[region] + x for x, region in lines_of(html))
+            yield max(bisect_right(first, place) - 1, 0), *key, url, False, lines
+            if place in carried and place not in sent:
+                sent.add(place)
+                yield from ((at, *key, url, True, lines) for at in carried[place])
+
+    return lambda batches: _batches(rows(batches), LAID)
 
-    def pages() -> Iterator[tuple]:
-        for b in batches:
-            for page_id, url, host, path, html in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("page_id", "url", "host", "path", "html")), strict=True):
-                yield page_id, url, host, path, lines_of(html)
 
-    rows: list[tuple] = []
-    for page_id, url, text in _paired(pages()):
-        rows.append((page_id, url, text, len(text)))
-        if len(rows) >= 512:
-            yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams sorted pages of one or more ranges."""
 
+    def pages() -> Iterator[tuple]:
+        for at, host, path, page_id, url, carried, lines in _rows(batches, "range", "host", "path", "page_id", "url", "carried", "lines"):
+            yield page_id, url, (at, host), path, [(x[1:], REGIONS[x[0]]) for x in lines.split("\n")] if lines else [], carried
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+    return _batches(((page_id, url, text, len(text)) for page_id, url, text in _paired(pages())), TEXTS)
 
 
 def extracted(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """page_id, url, text, n_chars for every page. One shuffle, by ranges of (host, path, id): a hot host is spread over as
-    many ranges as it fills, and each range is streamed."""
+    """page_id, url, text, n_chars for every page. One shuffle of the pages' lines, by ranges of (host, path, id): a hot host
+    is spread over as many ranges as it fills, and each range is streamed. Pages are parsed twice; at most five places of
+    each range reach the driver."""
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     x = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"), html.alias("html"), F.xxhash64(html).alias("tie"),
     )
-    return x.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    keys = "host string, path string, page_id long, tie long"
+    with Scratch(pages.sparkSession) as scratch:
+        bodies = scratch.written(x.select(*ORDER, "html").mapInArrow(tidy(_bodies), f"{keys}, body binary"), "bodies")
+        ends = bodies.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_ends, f"range int, {keys}, body binary").collect()
+    first, carried = _cuts([(r["range"], r["host"], r["path"], r["page_id"], r["tie"], r["body"] and bytes(r["body"])) for r in ends])
+    laid = x.mapInArrow(tidy(_lay(first, carried)), f"range int, {keys}, url string, carried boolean, lines string")
+    laid = laid.repartitionById(max(n, len(first)), "range").sortWithinPartitions("range", *ORDER)
+    return laid.mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

@@ -179,6 +179,23 @@ def test_copies_and_empty_pages_are_looked_past(spark, monkeypatch):
     assert got == {1: "first story", 2: "second story ends", 5: "", **dict.fromkeys((6, 7), "Home About us first story All rights reserved")}
 
 
+def test_texts_do_not_depend_on_ranges(spark):
+    """Hosts cut by many ranges, with copies, empty pages, repeated rows and null ids at the cuts, against one range."""
+    r = random.Random(4)
+    rows = []
+    for i in range(240):
+        host = r.choice(["a", "a", "b", f"c{r.randrange(20)}"])
+        story = r.choice(["<p>copied</p>", f"<p>story {i}</p><p>{r.choice('xy')}</p>", f"<p>s{r.randrange(4)}</p>"])
+        body = r.choice([FRAME, FRAME, f"<div>menu of {host}</div>{{}}"]).format(story)
+        rows.append((r.choice([i, i, None]), f"http://{host}/{r.randrange(3)}/{r.randrange(30)}", r.choice([body, body, body, None])))
+    rows += [(1000 + i, "http://d/x", FRAME.format("<p>all alike</p>")) for i in range(60)] + [(2000, "http://d/y", FRAME.format("<p>other</p>"))] + rows[:20]
+    df = spark.createDataFrame(rows, DDL).repartition(5)
+    got = [sorted(map(repr, html_text.extracted(df, n).collect())) for n in (1, 7, 200)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    alike = {x.text for x in html_text.extracted(df, 200).filter("page_id >= 1000").collect()}
+    assert alike == {"all alike", "other"}
+
+
 def test_pages_query(spark):
     """The pages' articles, read by a plain search of the one template they have."""
     got = {r.page_id: r for r in queries.op2_html_extraction(spark, SF).collect()}
