@@ -12,7 +12,9 @@ result is that of one range, whatever their number.
 Differencing alone would also delete what two articles have in common (quoted passages, copies of an article), and it keeps
 menus that differ between pages, so markup decides first: lines in menus, headers, footers, asides, forms, adverts,
 notices, comments and the like go in any case, and lines inside an article or main element stay although a neighbour has
-them. Lines of pages without such an element are kept or deleted by the alignment.
+them. Lines of pages without such an element are kept or deleted by the alignment. Class names and ids count by their whole
+name, first or last part; they drop neither an article or main element itself, nor the main element or the page's only
+articles inside.
 
 Defined results: null html and null urls are empty; an empty page has an empty text; a page alone on its host has
 nothing to share, nor has one whose host has copies of it only; copies are differenced with the next other page, and their
@@ -59,6 +61,9 @@ NAMED = frozenset(
     "pagination pager skip".split()
 )
 HEADERS = frozenset("header banner topbar".split())
+#: Words beside such a name that make it the state of something else (no-sidebar, comments-open), and names that say so only at a name's beginning (elementor-widget).
+STATES = frozenset("has no not non with without is open opened closed on off none enabled disabled active collapsed accepted".split())
+BEGINS = frozenset("widget widgets".split())
 MAIN = frozenset(("article", "main"))
 
 #: Bytes of a row of copies that are held in memory while the page after them is looked for; more go to a file of the task.
@@ -69,17 +74,50 @@ def _attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(s)} if s.strip(" \t\r\n\f/") else {}
 
 
-def _dropped(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+def _names(attributes: dict[str, str]) -> set[str]:
+    """What class names and ids call an element: the whole name, or its first or last part."""
+    out: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if parts and STATES.isdisjoint(parts):
+            out.add(parts[0])
+            if parts[-1] not in BEGINS:
+                out.add(parts[-1])
+    return out
+
+
+KEPT, BY_NAME, OUT, HELD_ARTICLE = range(4)
+
+
+def _main(tag: str, attributes: dict[str, str]) -> str:
+    """article, main or nothing."""
+    role = attributes.get("role", "").lower()
+    return tag if tag in MAIN else role if role in MAIN else ""
+
+
+def _dropped(tag: str, attributes: dict[str, str], in_main: bool) -> int:
     if tag in DROPPED or (tag == "header" and not in_main):
-        return True
+        return OUT
     if not attributes or tag in ("html", "body"):
-        return False
+        return KEPT
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return OUT
     if attributes.get("role", "").lower() in ROLES:
-        return True
-    named = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(named & NAMED) or (not in_main and bool(named & HEADERS))
+        return OUT
+    if _main(tag, attributes):
+        return KEPT
+    named = _names(attributes)
+    return BY_NAME if named & NAMED or (not in_main and named & HEADERS) else KEPT
+
+
+def _inside(outer: int, here: int, main: str, in_article: bool) -> int:
+    """How an element in one of state outer is kept. A name doesn't decide over a main element inside, and over an article
+    only when the page has others."""
+    if OUT in (outer, here) or (here == BY_NAME and (in_article or outer == HELD_ARTICLE)):
+        return OUT
+    if outer == BY_NAME and main:
+        return KEPT if main == "main" else HELD_ARTICLE
+    return here if outer == KEPT else outer
 
 
 Line = tuple[str, str]
@@ -88,7 +126,7 @@ Line = tuple[str, str]
 def lines_of(html: str) -> list[Line]:
     """Text lines of a page in order, each with its region: out (never the article), main (inside article or main), other."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main; both hold for all inside
+    stack: list[tuple[str, int, bool, bool]] = []  # name, state, in main or article, in article; they hold for all inside
     held: list[str] = []
 
     def flush() -> None:
@@ -96,8 +134,8 @@ def lines_of(html: str) -> list[Line]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                _, dropped, main = stack[-1] if stack else ("", False, False)
-                out.append((text, "out" if dropped else "main" if main else "other"))
+                _, state, main, _ = stack[-1] if stack else ("", KEPT, False, False)
+                out.append((text, "held" if state == HELD_ARTICLE else "out" if state else "main" if main else "other"))
 
     def close(names: frozenset[str] | set[str], stop: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -143,15 +181,17 @@ def lines_of(html: str) -> list[Line]:
             continue
         if (m[3] if m[2] else m[6]).endswith("/") and tag in ("svg", "path", "use"):
             continue
-        _, dropped, main = stack[-1] if stack else ("", False, False)
+        _, state, main, article = stack[-1] if stack else ("", KEPT, False, False)
         here = _dropped(tag, attributes, main)
         if tag in INLINE and not here:
             continue  # unclosed inline elements would only pile up
         if here and tag in INLINE:
             flush()
-        stack.append((tag, dropped or here, main or tag in MAIN or attributes.get("role", "").lower() in MAIN))
+        own = _main(tag, attributes)
+        stack.append((tag, _inside(state, here, own, article), main or bool(own), article or own == "article"))
     flush()
-    return out
+    held_is = "out" if any(region == "main" for _, region in out) else "main"
+    return [(x, held_is if region == "held" else region) for x, region in out]
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:

@@ -131,6 +131,24 @@ def test_markup_and_lines():
     assert html_text.main_text(html_text.lines_of("a<b>c &lt;b&gt;"), None) == "ac <b>"
 
 
+def test_names_do_not_drop_the_article():
+    text = lambda html: html_text.main_text(html_text.lines_of(f"<body><div>Out</div>{html}</body>"), None)
+    for tag in ("article class='post comments-open'", "main class='no-sidebar'", "article id='comment'", "div role='main' class='widget'"):
+        assert text(f"<{tag}><p>Story</p></{tag.split()[0]}>") == "Story"
+    for name in ("content has-sidebar", "elementor-widget-text-editor", "elementor-widget", "content-sidebar-wrap", "comments-open"):
+        assert text(f"<div class='{name}'><p>Story</p></div>") == "Out Story"
+        assert text(f"<article><div class='{name}'><p>Story</p></div></article>") == "Story"
+    for name in ("sidebar", "widget"):
+        assert text(f"<div class='{name}'><article><p>Story</p></article></div>") == "Story"
+        assert text(f"<div class='{name}'>Aside<main><p>Story</p></main></div><article>Card</article>") == "Story Card"
+    # What the names are for goes as ever.
+    for name in ("top-ad", "ad", "site-footer", "comment-list", "related_posts", "widget_text", "main-nav open-menu nav"):
+        assert text(f"<div class='{name}'><p>Menu</p></div>") == "Out"
+        assert text(f"<article>Story<div class='{name}'><article class='x'>Menu</article></div></article>") == "Story"
+        assert text(f"<main>Story<div class='{name}'><article>Menu</article></div></main>") == "Story"
+        assert text(f"<article>Story</article><div class='{name}'><article>Menu</article></div>") == "Story"
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
