@@ -6,9 +6,10 @@ reaches num / den. If they do, they differ in at most D = floor(m * (den - num)
 Tiles: sizes fall into bands; for a band, D of its largest size holds for all of it. Elements are dealt by hash into
 D + 1 + slack segments, so linked sets agree in at least slack + 1 segments whole. A tile is (band, segment, its contents): any
 two linked sets share slack + 1 of them. A set is dealt for its own band and for those lower bands in which a linked smaller set
-can be. Tiles have one order for all sets: empty segments first, then by how many sets they hold, common ones first. Each
+can be. Tiles have one order for all sets: empty segments first, by their number, then by how many sets they hold, common ones first. Each
 set leaves the first `slack` of its tiles; as linked sets share more than that, the last tile that they share is left by
-neither, and no link is lost. What only common passages have made alike is left, and so is every set that shares too few tiles.
+neither, and no link is lost. Empty segments count among the left ones by the set itself, whether or not another set has a
+key for them; of the others, tiles that a set has alone don't count, which leaves fewer. What only common passages have made alike is left, and so is every set that shares too few tiles.
 
 Inside tiles no group is turned into all of its pairs. First each member of a tile meets only the tile's pivot, and what
 links is merged into components. Where a tile still holds two components, its members are described by their differences
@@ -115,8 +116,7 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int]:
 
 def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
     """Keys of the tiles that a set belongs to, and for each band how many more of its tiles it leaves, as band << 32 | count.
-    A key has its band in its lowest 7 bits and a mark for empty segments in the eighth. Empty segments that are left
-    anyway get no key."""
+    A key has its band in its lowest 7 bits. The first empty segments, up to slack, are left and get no key."""
     n = len(s)
     own = bisect_right(BANDS, n) - 1
     least = -(-n * num // den)
@@ -136,10 +136,9 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]
             sums = total[edges[1:]] - total[edges[:-1]]
             full = edges[1:] > edges[:-1]
             keys = _mix(_mix(sums + np.uint64(band + 1) * _GOLD) + np.arange(k, dtype=np.uint64) * _A)
-            keys = (keys & ~np.uint64(255)) | np.uint64(band) | np.where(full, np.uint64(0), np.uint64(128))
-            empty = k - int(full.sum())
-            out.append(keys[full] if empty <= slack else keys)
-            leave.append(band << 32 | (slack - empty if empty <= slack else slack))
+            keys = (keys & ~np.uint64(127)) | np.uint64(band)
+            out.append(keys[full | (np.cumsum(~full) > slack)])
+            leave.append(band << 32 | max(slack - k + int(full.sum()), 0))
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), leave
 
 
@@ -394,7 +393,7 @@ def _tiles(dealt: DataFrame, scratch: Scratch) -> DataFrame:
     rows = dealt.select("cls", F.explode("keys").alias("key"))
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = rows.join(common, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(127)))
-    order = Window.partitionBy("cls", "band").orderBy(F.col("key").bitwiseAND(F.lit(128)).desc(), F.col("m").desc(), "key")
+    order = Window.partitionBy("cls", "band").orderBy(F.col("m").desc(), "key")
     leave = dealt.select("cls", F.explode("leave").alias("x")).select("cls", F.shiftright("x", 32).alias("band"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("first"))
     rows = scratch.written(rows.withColumn("nth", F.row_number().over(order)).join(leave, ["cls", "band"]).filter("nth > first").select("key", "cls"), "stays")
     shared = rows.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last")

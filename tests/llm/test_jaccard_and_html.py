@@ -94,6 +94,29 @@ def test_linked_sets_share_enough_tiles():
                 assert k <= (len(a) + len(b) - bits) // 2
 
 
+def test_small_sets_with_many_empty_segments_meet(spark):
+    """Linked sets of 4 to 9 elements, one of which may have more empty segments than slack and the other one not."""
+    r = random.Random(6)
+    for n in (4, 5, 6, 8):
+        for _ in range(600):
+            a = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+            b = np.unique(np.append(a, np.uint64(r.getrandbits(64))))
+            (x, left_x), (y, left_y) = jaccard_join.tile_keys(a, 80, 100), jaccard_join.tile_keys(b, 80, 100)
+            both = np.intersect1d(x, y)
+            leaves = [{z >> 32: z & (1 << 32) - 1 for z in left} for left in (left_x, left_y)]
+            assert any((both & 127 == band).sum() > max(z.get(band, 10**9) for z in leaves) for band in set(leaves[0]) & set(leaves[1]))
+
+    k, slack = jaccard_join.band_plan(jaccard_join.bisect_right(jaccard_join.BANDS, 4) - 1, 80, 100)
+    full = lambda text: len(set((jaccard_join.shingles(text.encode(), 5) >> np.uint64(7)) % np.uint64(k)))
+    while True:
+        words = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        if k - full(" ".join(words[:8])) > slack >= k - full(" ".join(words)):
+            break
+    rows = [(0, " ".join(words[:8])), (1, " ".join(words))]
+    got = jaccard_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows]), 5, 80, 100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(0, 4, 0), (1, 5, 0)]
+
+
 def test_groups_of_edited_copies_without_their_base(spark):
     """Copies of one text, most of them linked only through some of the others."""
     for seed, (words, num, den) in enumerate([(3, 90, 100), (5, 80, 100), (3, 90, 100)]):
