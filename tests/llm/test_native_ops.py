@@ -5,6 +5,7 @@ import time
 import pytest
 
 from netloom.llm import chat, exact_dedup, mixing, queries, secret_scan
+from netloom.llm.common import table
 from tests.llm.sqlcheck import SF, duck, same
 
 
@@ -100,6 +101,28 @@ def test_chat_against_brute_force(spark):
     assert got == want
 
 
+def test_examples_in_full_against_the_digests(spark):
+    """Every example of the conversations table, written out: its text, its loss span, and the digests read from it."""
+    formatted = chat.segments(chat.with_probe(table(spark, SF, "conversations")))
+    turns: dict = {}
+    for r in sorted(formatted.collect(), key=lambda r: (r.conv_id is not None, r.conv_id, r.turn_no)):
+        turns.setdefault(r.conv_id, []).append(r)
+    seen: dict = {}
+    for e in sorted(chat.materialised(formatted).collect(), key=lambda e: e.example_no):
+        target = [i for i, r in enumerate(turns[e.conv_id]) if r.role == "assistant"][e.example_no]
+        assert e.text == "".join(r.segment for r in turns[e.conv_id][: target + 1])
+        loss = chat.unescaped(e.text[e.loss_start : e.loss_end])
+        assert loss == chat.read_segment(turns[e.conv_id][target].segment)[1]
+        n, chars, shown, digest = seen.get(e.conv_id, (0, 0, 0, hashlib.sha256()))
+        digest.update(loss.encode())
+        seen[e.conv_id] = (n + 1, chars + len(loss), shown + len(e.text), digest)
+    got = queries.op5_chat(spark, SF).collect()
+    assert len(got) == len(turns) and sum(n for n, *_ in seen.values()) == sum(r.role == "assistant" for x in turns.values() for r in x)
+    for r in got:
+        n, chars, shown, digest = seen.get(r.conv_id, (0, 0, 0, hashlib.sha256()))
+        assert (r.loss_chars, r.formatted_chars, r.loss_sha256) == (chars, shown, digest.hexdigest())
+
+
 def test_chat_round_trip_and_edges(spark):
     rows = [(1, 0, "user", "a\\n<|im_end|>\n\\<|"), (1, 1, "assistant", "\\|<|"), (1, 1, "assistant", "\\|<|"), (1, None, "sys\ntem", None), (None, 0, None, "é"), (2, 0, "user", "x" * 100000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
