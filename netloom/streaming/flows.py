@@ -24,7 +24,10 @@ _INTS = ("timestamp_us", "packet_id")
 
 def segmented_stream(packets: DataFrame, config: Config, delay: str = "0 seconds") -> DataFrame:
     """Packets of ended flows, marked as segmented() marks them. Late packets, behind the watermark, are dropped by Spark. A
-    flow that falls silent ends at the time its timeout passed. flow_seq is the id of the flow's first packet."""
+    flow that falls silent ends at the time its timeout passed. flow_seq is the id of the flow's first packet. Snapshots of open
+    flows (early_export) aren't built for streams."""
+    if config.early_export is not None:
+        raise ValueError("early_export isn't built for streams: packets come out when their flow has ended")
     active, idle = config.active_timeout, config.idle_timeout
     marks = [x.split()[0] for x in EXTRA.split(", ")]
     columns = [*FIELDS, "key_a", "key_b"]

@@ -251,6 +251,13 @@ def test_stream_gives_the_flows_of_the_batch(spark, tmp_path):
     assert spark.table("rates").agg(F.sum("packets")).first()[0] == len(rows)
 
 
+def test_a_stream_refuses_snapshots(spark):
+    from netloom.streaming.flows import segmented_stream
+
+    with pytest.raises(ValueError, match="early_export"):
+        segmented_stream(packets_of(table(spark, [packet(0, 1)])), Config(early_export=1))
+
+
 def test_options(tmp_path):
     (tmp_path / "c.toml").write_text('[config]\nfeatures = "cic"\nidle_timeout = 9\n[output]\noutput = "csv"\nexport_path = "x"\n')
     assert from_toml(str(tmp_path / "c.toml")).idle_timeout == 9
