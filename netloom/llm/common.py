@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import netloom
@@ -91,6 +91,13 @@ def _shuffles_given_up(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path itself, as Spark's JVM has them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
 def _written_to(df: DataFrame, path: str) -> DataFrame:
     with _shuffles_given_up(df.sparkSession):
         df.write.parquet(path)
@@ -98,8 +105,13 @@ def _written_to(df: DataFrame, path: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    return _written_to(df, f"{scratch_dir(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}")
+    """Writes df to a table in the shared folder and reads it again: cuts lineage, survives lost executors. The table goes
+    when the session's JVM ends."""
+    path = f"{scratch_dir(df.sparkSession)}/netloom/{name}-{uuid.uuid4().hex}"
+    out = _written_to(df, path)
+    fs, at = _path(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    return out
 
 
 class Scratch:
@@ -110,6 +122,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{scratch_dir(spark)}/netloom/steps-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
+        self.made = 0
 
     def __enter__(self) -> Scratch:
         return self
@@ -118,9 +131,24 @@ class Scratch:
         self._delete(self.folder)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        made = self.paths.setdefault(name, [])
-        made.append(f"{self.folder}/{name}-{len(made)}")
-        return _written_to(df, made[-1])
+        self.made += 1
+        path = f"{self.folder}/{name}-{self.made}"
+        self.paths.setdefault(name, []).append(path)
+        return _written_to(df, path)
+
+    def counted(self, df: DataFrame, name: str, rows: Column) -> tuple[DataFrame, int]:
+        """The table, and for how many of its rows the condition holds, which the same job counts."""
+        seen = Observation()
+        out = self.written(df.observe(seen, F.count_if(rows).alias("n")), name)
+        return out, seen.get.get("n", 0)
+
+    def replaced(self, df: DataFrame, name: str) -> DataFrame:
+        """The table in place of those of this name before, of which df may have been made."""
+        before = self.paths.pop(name, [])
+        out = self.written(df, name)
+        for path in before:
+            self._delete(path)
+        return out
 
     def drop(self, *names: str) -> None:
         """Deletes the tables of these names, which no later step reads."""
@@ -129,16 +157,13 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _path(self.spark, path)
+        fs.delete(at, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small frames inside loops."""
-    scratch_dir(df.sparkSession)
-    with _shuffles_given_up(df.sparkSession):
-        return df.checkpoint()
+    """A small frame inside an operator, written and read again."""
+    return written(df, "kept")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -18,12 +18,18 @@ least t = (|dx| + |dy| - T) / 2, where T is the most that linked sets of their s
 of two components, as two sets closer to the pivot than that would both be linked with it. So a prefix of each list of
 differences, rare ones first, is joined by pivot and element, and pairs whose first common element stands too late for t
 to follow, or whose lists' own 256-bit signatures differ in more than T bits, are never made. Before that, a few rounds in which each set meets one other of its element merge most of what
-links, so the join, which makes pairs of different components only, ends exact and small.
+links. Elements whose sets are one component leave after every round, so the join, which makes pairs of different components only,
+ends exact and small.
 
 A pair is first bounded: the bits in which two 1024-bit signatures differ are at most the elements in which the sets
 differ, so the overlap is at most (|A| + |B| - bits) / 2. Only pairs that pass go on to the exact intersection of their sorted arrays.
 
-Equal sets are one class from the start. All state is in Spark tables; nothing of it reaches the driver.
+Equal sets are one class, named by one of their rows. Tiles are counted for all rows, as keys are most of what is stored and
+aren't moved to drop copies first; copies give way to their class when the tiles that one row has alone are gone.
+
+All state is in Spark tables; only how many labels a step changed reaches the driver. A tile, pivot, element, class or
+component may hold a large share of all rows: counts are summed before they move, and what is joined to them is written
+first, so that both sides of the join are plain shuffles, which Spark splits where they are skewed.
 
 Defined results: null and empty texts have no shingles, size 0, and link with nothing; texts of fewer words than a shingle
 are one shingle; rows repeated or with equal sets are linked; a null id takes part and never names a component unless all its
@@ -38,10 +44,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Scratch, kept, text_of, tidy, written
+from netloom.llm.common import Scratch, text_of, tidy, written
 
 #: Sizes of a band are within this ratio.
 RATIO = 1.5
@@ -50,9 +56,6 @@ SIGNATURE_BITS = 1024
 SLACK = 9
 MEMO_WORDS = 120_000
 
-#: Copies that are dropped by a broadcast of their row numbers; more of them go by shuffles.
-COPIES_SENT = 1_000_000
-
 #: Rounds in which each set meets one set for each of its differences, before the exact join of differences.
 ROUNDS = 2
 
@@ -114,13 +117,13 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int]:
     return differ + 1 + slack, slack
 
 
-def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
-    """Keys of the tiles that a set belongs to, and for each band how many more of its tiles it leaves, as band << 32 | count.
-    A key has its band in its lowest 7 bits. The first empty segments, up to slack, are left and get no key."""
+def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tiles that a set belongs to, and with each how many more tiles of its band the set leaves. A key has its
+    band in its lowest 7 bits. The first empty segments, up to slack, are left and get no key."""
     n = len(s)
     own = bisect_right(BANDS, n) - 1
     least = -(-n * num // den)
-    out, leave = [], []
+    out, leave = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     with np.errstate(over="ignore"):
         contents = _mix(s + _GOLD)
         for band in range(own, -1, -1):
@@ -138,8 +141,8 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]
             keys = _mix(_mix(sums + np.uint64(band + 1) * _GOLD) + np.arange(k, dtype=np.uint64) * _A)
             keys = (keys & ~np.uint64(127)) | np.uint64(band)
             out.append(keys[full | (np.cumsum(~full) > slack)])
-            leave.append(band << 32 | max(slack - k + int(full.sum()), 0))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), leave
+            leave.append(np.full(len(out[-1]), max(slack - k + int(full.sum()), 0), np.int32))
+    return np.concatenate(out), np.concatenate(leave)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -153,7 +156,7 @@ def links(overlap: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, n
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document: id, two hashes that name its text, size, two hashes that name its set, signature, tile keys, tiles to leave."""
+    """A row for each document: id, two hashes that name its text, size, two hashes that name its set, signature, and its tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda rows: pa.array([np.uint64(x).astype(np.int64) for x in rows], pa.int64())
@@ -166,15 +169,16 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
                     ones.append(_mix(s).sum(dtype=np.uint64))
                     twos.append(_mix(s ^ _B).sum(dtype=np.uint64))
                 marks.append(signature(s))
-                k, left = tile_keys(s, num, den) if len(s) else (s, [])
+                k, left = tile_keys(s, num, den) if len(s) else (s, np.zeros(0, np.int32))
                 keys.append(k.view(np.int64))
                 leave.append(left)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), signed(ones), signed(twos), pa.array(marks, pa.binary()), lists, pa.array(leave, pa.list_(pa.int64()))], names=["id", "k1", "k2", "n", "c1", "c2", "mark", "keys", "leave"])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.concatenate([*leave, np.zeros(0, np.int32)]))], names=["key", "first"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), signed(ones), signed(twos), pa.array(marks, pa.binary()), lists], names=["id", "k1", "k2", "n", "c1", "c2", "mark", "tiles"])
         _words.clear()  # a worker that is used again starts small
 
     x = _named(docs, id_col, text_col).select("id", "k1", "k2", "text")
-    return x.mapInArrow(tidy(run), "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, keys array<long>, leave array<long>")
+    return x.mapInArrow(tidy(run), "id long, k1 long, k2 long, n long, c1 long, c2 long, mark binary, tiles array<struct<key: long, first: int>>")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -197,16 +201,16 @@ class _Sets(dict):
 
 
 def _with(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
-    """Pairs (a, b) with columns of both sets."""
+    """Pairs (a, b, and what else they have) with columns of both sets."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("cls").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in names]), side)
-    return pairs.select("a", "b", *[f"{n}_{side}" for n in names for side in "ab"])
+    return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bounded by sizes and signatures first, and only then intersected."""
+def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that can link by their sizes and signatures."""
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
@@ -216,17 +220,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
             most = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(links(most, na, nb, num, den)))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x = _with(pairs, sets, "n", "mark").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    return x.select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(tidy(run), "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of pairs (a, b, two numbers) that link, by intersection of their sets. They stand by b, whose set is made once."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Sets(n)
         for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             ok: list[bool] = []
-            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            for x, y in zip(b.column(4).cast(pa.binary()).to_pylist(), b.column(5).cast(pa.binary()).to_pylist(), strict=True):
                 y, x = of[y], of[x]
                 ok.append(bool(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=names).filter(pa.array(ok, pa.bool_()))
 
-    pairs = _with(pairs, sets, "n", "mark").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).mapInArrow(tidy(bounded), "a long, b long")
-    return _with(pairs, sets, "text").mapInArrow(tidy(exact), "a long, b long")
+    return _with(pairs, sets, "text").select(*names, "text_a", "text_b").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def apart(n_sum: int, num: int, den: int) -> int:
@@ -258,8 +269,8 @@ MARKS = ("m0", "m1", "m2", "m3")
 COMMON, COMMON_SHARE = 4, 512
 
 
-def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """For pivots with many sets, the differences that many have, with their ranks by frequency: pivot, common.
+def _common(pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """For pivots with many sets, the differences that many have, with their ranks by frequency: b, parts, common.
     Only sets not far from the pivot are counted; any order that all sets of a pivot share is a right one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +283,20 @@ def _common(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> D
                     y, x = of[y], of[x]
                     d = np.setxor1d(x, y, assume_unique=True)
                     found.append(d if len(d) <= 4 * apart(len(x) + len(y), num, den) else d[:0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(1).to_numpy(), [len(d) for d in found])), pa.array(np.concatenate(found).view(np.int64))], names=["pivot", "element"])
+                times = [len(d) for d in found]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(part.column(k).to_numpy(), times)) for k in (0, 1)], pa.array(np.concatenate(found).view(np.int64))], names=["b", "sets", "element"])
 
-    many = unlike.groupBy("b").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= 2 * COMMON)
-    rows = _with(unlike.join(many, "b", "left_semi").select("a", "b"), sets, "text").mapInArrow(tidy(run), "pivot long, element long")
-    counts = rows.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("c")).join(many.withColumnRenamed("b", "pivot"), "pivot")
+    rows = pairs.filter(F.col("sets") >= 2 * COMMON).select("b", "sets", "text_a", "text_b").mapInArrow(tidy(run), "b long, sets long, element long")
+    counts = rows.groupBy("b", "element").agg(F.count(F.lit(1)).alias("c"), F.max("sets").alias("sets"))
     counts = counts.filter((F.col("c") >= COMMON) & (F.col("c") * COMMON_SHARE >= F.col("sets")))
-    return counts.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("common"))
+    return counts.groupBy("b").agg(_parts(F.max("sets")).alias("parts"), F.sort_array(F.collect_list(F.struct("c", "element"))).alias("common"))
 
 
-def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _parts(sets: Column) -> Column:
+    return F.ceil(sets / PART).cast("int")
+
+
+def _differing(pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """pivot, cls, comp, n, size, place, element, marks: the prefixes of the differences of each set (a) from its pivot (b).
 
     A pivot's sets are dealt into parts of bounded size, sorted behind one row with the pivot's common differences, and
@@ -317,96 +332,109 @@ def _differing(unlike: DataFrame, sets: DataFrame, n: int, num: int, den: int) -
                 whole += [np.repeat(column, times) for column in np.stack(marks, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], names=["pivot", "cls", "comp", "n", "size", "place", "element", *MARKS])
 
-    parts = unlike.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    pairs = _with(unlike.select("a", "b"), sets, "text").join(parts, "b").join(unlike, ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    common = _common(unlike, sets, n, num, den).withColumnRenamed("pivot", "b").join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = pairs.select("a", "b", "text_a", "text_b", "part", "comp").unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
+    common = _common(pairs, n, num, den).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = pairs.withColumn("part", F.pmod(F.xxhash64("a"), _parts(F.col("sets"))).cast("int")).select("a", "b", "text_a", "text_b", "part", "comp")
+    both = own.unionByName(common.select("b", "part", "common"), allowMissingColumns=True)
     both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return both.select("a", "b", "text_a", "text_b", "common", "comp").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("pivot", "cls", "comp", "n", "size", "place", "element", *MARKS)))
 
 
-def _telling(d: DataFrame) -> DataFrame:
-    """The differences that the join needs. An element that sets of one component only have joins no pair to be made. Of
-    elements that the very same sets of a pivot have, the first stands for all: these share one order, so where another one
-    is the first that two sets share, so is it. An edit changes a run of shingles, which comes down to one."""
-    held = d.groupBy("pivot", "element").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c"),
-        F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("h2"), F.min(F.struct("cls", "place")).alias("first"),
-    )
-    alike = held.filter("low < high").groupBy("pivot", "c", "h1", "h2").agg(F.min(F.struct("first.place", "element")).alias("x"))
-    return d.join(alike.select("pivot", "x.element"), ["pivot", "element"], "left_semi").drop("comp")
+#: What a set brings to a meeting with another one.
+OWN = ("cls", "origin", "comp", "n", "size", "place", *MARKS)
+
+
+def _open(d: DataFrame, turn: int) -> DataFrame:
+    """The elements of pivots whose sets are of different components, with one of these sets, another one each turn (met)."""
+    seed = F.lit(int(turn * 0x9E3779B97F4A7C15 % (1 << 62)))
+    chosen = F.min(F.struct(F.col("cls").bitwiseXOR(seed).alias("at"), *OWN)).alias("met")
+    alike = (F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("h2"), F.min(F.struct("cls", "place")).alias("first"))
+    return d.groupBy("pivot", "element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), chosen, *alike).filter("low < high")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _telling(held: DataFrame) -> DataFrame:
+    """The elements that the join needs. Of elements that the very same sets of a pivot have, the first stands for all: these
+    share one order, so where another one is the first that two sets share, so is it. An edit changes a run of shingles,
+    which comes down to one."""
+    return held.groupBy("pivot", "c", "h1", "h2").agg(F.min(F.struct("first.place", "element", "met")).alias("x")).select("pivot", "x.element", "x.met")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (the least node reachable) for the nodes of edges (a, b): least neighbours' labels, and labels of labels,
-    until nothing changes. Each step is checkpointed."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    until nothing changes. Each step is written, and counts what it changed."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         one = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        labels = kept(one.join(jump, "mid", "left").select("node", "old", F.coalesce(F.least("mid", "far"), "mid").alias("comp")))
-        if labels.filter("comp <> old").isEmpty():
+        after = one.join(jump, "mid", "left").select("node", "old", F.coalesce(F.least("mid", "far"), "mid").alias("comp"))
+        before = scratch.paths.pop("labels")
+        labels, changed = scratch.counted(after, "labels", F.col("comp") != F.col("old"))
+        scratch.paths["before"] = before
+        scratch.drop("before")
+        if not changed:
+            scratch.paths["found"] = [*scratch.paths.get("found", []), *scratch.paths.pop("labels")]
             return labels.select("node", "comp")
-        labels = labels.select("node", "comp")
 
 
-def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """node, comp: the components of the sets in tiles (key, cls, pivot)."""
+def _labelled(rows: DataFrame, by: str, found: DataFrame, name: str = "comp") -> DataFrame:
+    """rows with the component of the node in column `by`, which is its own where it isn't found."""
+    return rows.join(found.select(F.col("node").alias(by), F.col("comp").alias("__comp")), by, "left").withColumn(name, F.coalesce("__comp", by)).drop("__comp")
+
+
+def _merged(tiles: DataFrame, sets: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Two frames (node, comp): the components that links with pivots make of sets, and what further links make of these."""
     rest = tiles.filter("cls <> pivot")
-    edges = scratch.written(_verified(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets, n, num, den), "links")
-    found = components(edges)
-    x = rest.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_tiles = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    unlike = scratch.written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "open")
-    if unlike.isEmpty():
-        return found
-    d = scratch.written(_telling(scratch.written(_differing(unlike, sets, n, num, den), "differences")), "telling")
-    scratch.drop("differences", "open")
+    pairs = _bounded(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets, num, den)
+    links = scratch.written(_verified(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, n, num, den), "links")
+    found = components(links, scratch)
+    x = scratch.written(_labelled(rest, "cls", found), "labelled")
+    open_tiles = scratch.written(x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "open")
+    unlike = scratch.written(x.join(open_tiles, "key", "left_semi").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), "comp").distinct(), "unlike")
+    pivots = scratch.written(unlike.groupBy("b").agg(F.count(F.lit(1)).alias("sets")), "pivots")
+    scratch.drop("labelled", "open", "links")
+    if pivots.isEmpty():
+        return found, None
+    pairs = scratch.written(_with(unlike.join(pivots, "b"), sets, "text").select("a", "b", "comp", "sets", "text_a", "text_b"), "pairs")
+    d = scratch.written(_differing(pairs, n, num, den).withColumn("origin", F.col("comp")), "differences")
+    scratch.drop("unlike", "pivots", "pairs")
     most = f"({den - num} * (n_a + n_b) div {den + num})"
     t = F.expr(f"(size_a + size_b - {most} + 1) div 2")
     can = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     can &= (t <= F.col("size_a") - F.col("place_a")) & (t <= F.col("size_b") - F.col("place_b"))
     can &= F.expr(" + ".join(f"bit_count({m}_a ^ {m}_b)" for m in MARKS) + f" <= {most}")
+    one, two = ([F.col(c).alias(f"{c}_{s}") for c in OWN] for s in "ab")
+    edges = more = None
     for turn in range(ROUNDS + 1):
-        now = d.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        one, two = (now.select("pivot", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "n", "size", "place", *MARKS)]) for s in "ab")
-        if turn < ROUNDS:  # one set of each element, another one each time
-            seed = F.lit(int(turn * 0x9E3779B97F4A7C15 % (1 << 62)))
-            chosen = now.groupBy("pivot", "element").agg(F.min(F.col("cls").bitwiseXOR(seed)).bitwiseXOR(seed).alias("cls_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            two = two.join(chosen.filter("low < high"), ["pivot", "element", "cls_b"], "left_semi")
-            met = can
+        if more is not None:
+            d = scratch.replaced(_labelled(d.drop("comp"), "origin", more), "differences")
+        held = _open(d, turn)
+        held = scratch.written(held.select("pivot", "element", "met") if turn else _telling(held), "held")
+        met = scratch.written(d.join(held, ["pivot", "element"]), "met")  # settled elements leave here
+        scratch.drop("differences", "held")
+        d = met.drop("met")
+        if turn < ROUNDS:
+            pairs = met.select(*one, *[F.col(f"met.{c}").alias(f"{c}_b") for c in OWN]).filter(can)
         else:
-            met = can & (F.col("cls_a") < F.col("cls_b"))
-        pairs = one.join(two, (one["pivot"] == two["pivot"]) & (one["element"] == two["element"]) & met)
-        pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        more = scratch.written(_verified(pairs, sets, n, num, den), "links")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            found = components(edges)
-    return found
-
-
-def _tiles(dealt: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, cls, pivot (the least set of the tile) for the tiles that sets (cls, keys, leave) stay in and don't have alone."""
-    rows = dealt.select("cls", F.explode("keys").alias("key"))
-    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = rows.join(common, "key").withColumn("band", F.col("key").bitwiseAND(F.lit(127)))
-    order = Window.partitionBy("cls", "band").orderBy(F.col("m").desc(), "key")
-    leave = dealt.select("cls", F.explode("leave").alias("x")).select("cls", F.shiftright("x", 32).alias("band"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("first"))
-    rows = scratch.written(rows.withColumn("nth", F.row_number().over(order)).join(leave, ["cls", "band"]).filter("nth > first").select("key", "cls"), "stays")
-    shared = rows.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last")
-    return rows.join(shared, "key").select("key", "cls", "pivot")
-
-
-def _one_each(sets: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The row of each class that names it. Keys are most of what is stored, so they aren't shuffled to drop a few copies:
-    up to COPIES_SENT rows to drop are broadcast (8 MB of row numbers); more are joined by shuffles."""
-    copies = sets.filter("n > 0").select("row", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).filter("row <> cls")
-    copies = scratch.written(copies.select("row"), "copies")
-    few = copies.count() <= COPIES_SENT
-    return sets.filter("n > 0").join(F.broadcast(copies) if few else copies.hint("merge"), "row", "left_anti")
+            pairs = d.select("pivot", "element", *one).join(d.select("pivot", "element", *two), ["pivot", "element"]).filter(can & (F.col("cls_a") < F.col("cls_b")))
+        pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), F.least("origin_a", "origin_b").alias("x"), F.greatest("origin_a", "origin_b").alias("y")).distinct()
+        new = scratch.written(_verified(pairs, sets, n, num, den).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "more")
+        scratch.paths["differences"] = scratch.paths.pop("met")
+        if not new.isEmpty():
+            edges = new if edges is None else edges.union(new)
+            more = components(edges, scratch)
+    return found, more
+
+
+def _tiles(sets: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, cls, pivot (the least set of the tile) for the tiles that classes stay in and share with others."""
+    rows = sets.select("row", F.explode("tiles").alias("tile")).select("row", "tile.*")
+    common = scratch.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "common")
+    near = rows.join(common, "key").join(copies, "row", "left").select("key", F.coalesce("cls", "row").alias("cls"), "m", "first").distinct()
+    order = Window.partitionBy("cls", F.col("key").bitwiseAND(F.lit(127))).orderBy(F.col("m").desc(), "key")
+    stays = scratch.written(near.withColumn("nth", F.row_number().over(order)).filter("nth > first").select("key", "cls"), "stays")
+    shared = scratch.written(stays.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").drop("last"), "shared")
+    return stays.join(shared, "key").select("key", "cls", "pivot")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,21 +446,25 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
 def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     sets = scratch.written(_sets(docs, words, num, den, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = sets.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("row").alias("cls"), F.min("id").alias("first_id"))
-    tiles = scratch.written(_tiles(_one_each(sets, classes, scratch).select(F.col("row").alias("cls"), "keys", "leave"), scratch), "tiles")
-    scratch.drop("stays", "copies")
+    full, name = sets.filter("n > 0"), ["n", "c1", "c2"]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    classes = scratch.written(full.groupBy(*name).agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("rows"), first), "classes")
+    copies = scratch.written(full.select("row", *name).join(classes.filter("rows > 1").select(*name, "cls"), name).filter("row <> cls").select("row", "cls"), "copies")
+    tiles = scratch.written(_tiles(full, copies, scratch), "tiles")
+    scratch.drop("common", "stays", "shared", "copies")
     needed = sets.select(F.col("row").alias("cls"), "n", "mark", "k1", "k2").join(tiles.select("cls").distinct(), "cls", "left_semi")
     texts = _named(docs, id_col, text_col).select("k1", "k2", "text")
     texts = needed.join(texts, ["k1", "k2"]).withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "cls").orderBy(F.lit(0)))).filter("copy = 1")
     texts = scratch.written(texts.select("cls", "n", "mark", "text"), "texts")
-    found = _merged(tiles, texts, words, num, den, scratch) if not tiles.isEmpty() else docs.sparkSession.createDataFrame([], "node long, comp long")
-
-    whole = classes.join(found.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    heads = whole.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(heads, "comp").select("n", "c1", "c2", "comp", "component_id")
-    x = sets.select("id", "k1", "k2", "n", "c1", "c2", "row").join(named, ["n", "c1", "c2"], "left")
-    heads_row = x.filter("n > 0 AND id <=> component_id").groupBy("comp").agg(F.min("row").alias("head"))
-    x = x.join(heads_row, "comp", "left")
+    found, more = _merged(tiles, texts, words, num, den, scratch)
+
+    whole = _labelled(classes, "cls", found)
+    if more is not None:
+        whole = _labelled(whole.withColumnRenamed("comp", "origin"), "origin", more)
+    whole = scratch.written(whole.select(*name, "comp", "first"), "whole")
+    heads = scratch.written(whole.groupBy("comp").agg(F.min("first").alias("head")), "heads")
+    named = whole.join(heads, "comp").select(*name, F.col("head.id").alias("component_id"), F.col("head.row").alias("head"))
+    x = sets.select("id", "k1", "k2", *name, "row").join(named, name, "left")
     empty = F.col("n") == 0
     return x.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from netloom.llm import html_text, jaccard_join, queries
+from netloom.llm.common import Scratch
 from tests.llm.sqlcheck import SF, duck
 from tests.llm.test_native_ops import ODD, docs
 
@@ -59,9 +60,8 @@ def corpus(seed):
     return [*rows, (None, rows[0][1]), rows[1], (10**6, None), (10**6 + 1, "")]
 
 
-def test_components_against_brute_force(spark, monkeypatch):
+def test_components_against_brute_force(spark):
     for seed, (words, num, den) in enumerate([(3, 90, 100), (5, 80, 100)]):
-        monkeypatch.setattr(jaccard_join, "COPIES_SENT", 0 if seed else 1_000_000)
         rows = corpus(seed)
         d = docs(spark, [(i, t, "s") for i, t in rows])
         got = jaccard_join.jaccard_components(d, words, num, den).collect()
@@ -88,7 +88,7 @@ def test_linked_sets_share_enough_tiles():
             if jaccard_join.links(k, len(a), len(b), num, den) and not np.array_equal(a, b):
                 (x, left_x), (y, left_y) = jaccard_join.tile_keys(a, num, den), jaccard_join.tile_keys(b, num, den)
                 both = np.intersect1d(x, y)
-                leaves = [{z >> 32: z & (1 << 32) - 1 for z in left} for left in (left_x, left_y)]
+                leaves = [{int(k) & 127: f for k, f in zip(keys, left, strict=True)} for keys, left in ((x, left_x), (y, left_y))]
                 assert any((both & 127 == band).sum() > max(z.get(band, 10**9) for z in leaves) for band in set(leaves[0]) & set(leaves[1]))
                 bits = sum((x ^ y).bit_count() for x, y in zip(jaccard_join.signature(a), jaccard_join.signature(b), strict=True))
                 assert k <= (len(a) + len(b) - bits) // 2
@@ -103,7 +103,7 @@ def test_small_sets_with_many_empty_segments_meet(spark):
             b = np.unique(np.append(a, np.uint64(r.getrandbits(64))))
             (x, left_x), (y, left_y) = jaccard_join.tile_keys(a, 80, 100), jaccard_join.tile_keys(b, 80, 100)
             both = np.intersect1d(x, y)
-            leaves = [{z >> 32: z & (1 << 32) - 1 for z in left} for left in (left_x, left_y)]
+            leaves = [{int(k) & 127: f for k, f in zip(keys, left, strict=True)} for keys, left in ((x, left_x), (y, left_y))]
             assert any((both & 127 == band).sum() > max(z.get(band, 10**9) for z in leaves) for band in set(leaves[0]) & set(leaves[1]))
 
     k, slack = jaccard_join.band_plan(jaccard_join.bisect_right(jaccard_join.BANDS, 4) - 1, 80, 100)
@@ -135,6 +135,23 @@ def test_groups_of_edited_copies_without_their_base(spark):
         print(len(rows), len({c for _, _, c in want}))
 
 
+def test_components_of_graphs(spark):
+    """Paths, stars, cycles and a graph without edges."""
+    r = random.Random(8)
+    for edges in ([], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (52, 51)], [(r.randrange(200), 200 + r.randrange(200)) for _ in range(180)]):
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])  # noqa: B023
+
+        for a, b in edges:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        with Scratch(spark) as scratch:
+            got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+        assert {x.node: x.comp for x in got} == {x: find(x) for x in root}
+
+
 def test_join_edges(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
     got = jaccard_join.jaccard_components(docs(spark, ODD)).collect()
