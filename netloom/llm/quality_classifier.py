@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import kept, tidy, without
+from netloom.llm.common import kept, tidy, without, written
 
 MOST_LABELS = 12_000
 #: Words of each lexicon, at most; a word enters when it follows so many different words in its class, with log odds of
@@ -32,8 +32,6 @@ MOST_LABELS = 12_000
 LEXICON, LEXICON_CONTEXTS, LEXICON_ODDS = 500, 8, 2.0
 #: Posterior probabilities at which a document goes.
 REJECT_AT = 0.5
-#: Path tables of at most so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_PATHS = 100_000
 TASKS = ("low", "toxic")
 BLANK_OUT = bytes(32 if x < 128 and not chr(x).isalpha() else x for x in range(256))
 N_STATS = 9
@@ -210,17 +208,22 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return kept(x.select("host", "path", *[f"{k}_{t}" for t in TASKS for k in ("path", "all")]))
 
 
-def classified(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with low, toxic (posterior probabilities) and kept. The text isn't shuffled unless there are very many paths."""
+def classified(docs: DataFrame, labels: DataFrame, model: Model | None = None, with_text: bool = True) -> DataFrame:
+    """docs with low, toxic (posterior probabilities) and kept. Without its text, every document is scored once, and the scores
+    are written. With it, texts are scored again when the result is read, as a copy of the texts would take more than
+    the scores do. Paths are a table, which Spark broadcasts where its size is under the session's limit."""
     own = without(docs, "low", "toxic", "kept", "p_low", "p_toxic")
     model = model or fitted(own, labels)
-    sites = site_posteriors(evidence(own.select("source", "lang", "text"), model))
-    if sites.count() <= BROADCAST_PATHS:
-        sites = F.broadcast(sites)
+    columns = [c for c in own.columns if with_text or c != "text"]
+    if with_text:
+        sites, scored = site_posteriors(evidence(own.select("source", "lang", "text"), model)), evidence(own, model)
+    else:
+        scored = written(evidence(own, model).drop("text"), "scored")
+        sites = site_posteriors(scored)
     sites = sites.select(*[F.col(c).alias(f"__{c}") for c in sites.columns])
-    x = evidence(own, model).join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
+    x = scored.join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
     odds = lambda c: F.log(c / (1 - c))
     for t in TASKS:
         x = x.withColumn(t, 1 / (1 + F.exp(-(odds(F.col(f"p_{t}")) + odds(F.col(f"__path_{t}")) - odds(F.col(f"__all_{t}"))))))
     x = x.withColumn("kept", (F.col("low") < REJECT_AT) & (F.col("toxic") < REJECT_AT))
-    return x.select(*[f"`{c}`" for c in own.columns], *TASKS, "kept")
+    return x.select(*[f"`{c}`" for c in columns], *TASKS, "kept")
