@@ -15,28 +15,44 @@ from netloom.llm import exact_dedup, jaccard_join, mixing, packing, quality_clas
 from netloom.llm.common import Scratch, table, written
 
 
+#: Columns that stages read; all others are carried under names that no operator uses.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _carried(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """operator(docs) with the columns of docs, whatever these are called."""
+    names = [c if c in READ else f"__column_{i}" for i, c in enumerate(docs.columns)]
+    return operator(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    return quality_classifier.classified(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    """Documents that the quality classifier doesn't reject. A null or empty text is a text without words; null sources and
+    languages are sites of their own; repeated rows stay or go together; an empty table gives an empty one; other columns are
+    carried through, whatever their names."""
+    return _carried(lambda x: quality_classifier.classified(x, table(spark, sf_dir, "labels")).filter("kept"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return exact_dedup.exact_dedup(docs, keep="largest")
+    """Of equal texts, the row with the largest doc_id. A null text is the empty text; a null doc_id stays only where all of
+    its group are null; of rows repeated with doc_id and text the least stays; empty tables and other columns as before."""
+    return _carried(lambda x: exact_dedup.exact_dedup(x, keep="largest"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component at similarity 0.8 over five-word shingles."""
-    return jaccard_join.jaccard_dedup(docs)
+    """One row of each component at similarity 0.8 over five-word shingles, that of the least doc_id (a null one only
+    where all are null). Rows without words all stay; empty tables and other columns as before."""
+    return _carried(jaccard_join.jaccard_dedup, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the mix draws: one for each epoch, the last of a source up to its exact cut."""
-    return mixing.drawn(mixing.mixed(docs)).select(*docs.columns)
+    """The rows that the mix draws: one for each epoch, the last of a source up to its exact cut, whose n_chars follows its
+    text. Rows without words are not drawn; a null source is the last source; empty tables and other columns as before."""
+    return _carried(lambda x: mixing.drawn(mixing.mixed(x)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequences and offsets."""
+    """Pieces of at most 4096 tokens with their sequences and offsets. A null text is empty: one piece, its end token;
+    repeated rows are packed each; an empty table gives no pieces."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
