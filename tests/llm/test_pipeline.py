@@ -4,6 +4,7 @@ import corpus_pipeline
 from netloom.llm.common import WORD_PY
 from tests.llm.sqlcheck import SF
 from tests.llm.test_jaccard_and_html import brute_components
+from tests.llm.test_native_ops import ODD
 from tests.llm.test_python_ops import packs_right
 
 
@@ -42,3 +43,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert max(share) - min(share) <= 2
     assert packs_right([(r.sequence_id, r.offset, r.length) for r in packed], 4096) <= 1.02 * sum(r.length for r in packed) / 4096 + 1
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, and columns that share names with what operators add; and empty tables."""
+    names = ("kept", "low", "p_low", "size", "target", "taken", "source_size", "row", "raw", "id", "may_be", "nth")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    words = [(20 + i, " ".join(f"w{i}x{k}" for k in range(80)), "s") for i in range(6)]
+    docs = spark.createDataFrame([(i, t, None, s, len(t or ""), *(f"{n} of {i}" for n in names)) for i, t, s in [*ODD, *words, words[0]]], ddl)
+    labels = "/root/testdata/sf0.001"
+    for given in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, labels)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert all(r.kept == f"kept of {r.doc_id}" and r.size == f"size of {r.doc_id}" for r in rows) and (rows or not given.count())
+        assert corpus_pipeline.pack(spark, given, labels).count() == (len(ODD) + len(words) + 1 + 7 if given is docs else 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, labels).collect()) == [2, 4, 5, 6, 7, 20, 21, 22, 23, 24, 25]
+    near = corpus_pipeline.drop_near_copies(spark, docs, labels).collect()
+    assert sorted(map(str, (r.doc_id for r in near))) == sorted(map(str, [1, 3, 4, 5, 6, 7, 20, 21, 22, 23, 24, 25]))
