@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.llm import chat, exact_dedup, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, token_count
 from netloom.llm.common import table
@@ -24,7 +25,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.by_path(docs, secret_scan.scan(docs))
+    early = F.xxhash64("doc_id") < 0  # two deliveries, together the whole table
+    return secret_scan.by_path(docs, secret_scan.delivered([docs.filter(early), docs.filter(~early)]))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.digests(chat.examples(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_classifier.classified(docs, table(spark, sf_dir, "labels")).select("doc_id", "low", "toxic", "kept")
+    return quality_classifier.classified(docs, table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "low", "toxic", "kept")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

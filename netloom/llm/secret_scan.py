@@ -1,7 +1,9 @@
 """Secret scans over an incremental blob ledger. DataFrame and SQL functions only.
 
 Every version of a text is a blob, named by its SHA-256. Only pairs of blob and rule version that the ledger doesn't
-hold are scanned, each blob once however many paths carry it; findings are then joined back to all paths.
+hold are scanned, each blob once however many paths carry it; findings are then joined back to all paths. The empty text is
+the blob of very many paths: what is joined to paths stands in a table first, so both sides are plain shuffles, which
+Spark splits where they are skewed.
 
 Offsets: a pattern's matches and the pieces between them are cut by the same engine, so a match starts where the
 lengths (in code points) of all pieces and matches before it end. Offsets are counted per piece, so a long text with
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import text_of
+from netloom.llm.common import Scratch, text_of, written
 
 
 @dataclass(frozen=True)
@@ -44,8 +46,6 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-
-
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each path and version: id, blob."""
     return docs.select(F.col(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("blob"))
@@ -77,12 +77,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     Texts move once, by blob and id of one path for each blob (never by a hot blob), and only blobs to scan go on.
     """
     found = versions(docs, id_col, text_col)
-    one = found.groupBy("blob").agg(F.min("id").alias("one_id"))
-    todo = unseen(one.select("blob"), rules, ledger)
-    one = one.join(todo, "blob").select(F.col("blob").alias("one_blob"), "one_id", "todo")
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("blob", F.sha2("t", 256))
-    texts = texts.join(one, (F.col("blob") == F.col("one_blob")) & F.col("id").eqNullSafe(F.col("one_id")))
-    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("blob", "id").orderBy(F.lit(0)))).filter("copy = 1")
+    path = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    one = found.withColumn("path", path).groupBy("blob").agg(F.min("path").alias("path"))
+    one = one.join(unseen(one.select("blob"), rules, ledger), "blob")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("blob", F.sha2("t", 256)).withColumn("path", path)
+    texts = texts.join(one, ["blob", "path"])
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("blob", "path").orderBy(F.lit(0)))).filter("copy = 1")
     hits = texts.select("blob", F.explode(F.array_compact(F.array(*[_cut(r, i) for i, r in enumerate(rules)]))).alias("hit"))
     rows = hits.select("blob", "hit.kind", "hit.version", "hit.rank", "hit.least", F.posexplode("hit.cuts").alias("i", "cut"))
     so_far = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -102,6 +102,16 @@ def record(docs: DataFrame, findings: DataFrame, ledger: DataFrame | None = None
     return new if ledger is None else ledger.unionByName(new)
 
 
+def delivered(deliveries: list[DataFrame], rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger after documents that came one delivery after the other: each is scanned for what those before it left unseen."""
+    with Scratch(deliveries[0].sparkSession) as scratch:
+        ledger = None
+        for docs in deliveries:
+            found = scratch.written(scan(docs, ledger, rules, id_col, text_col), "found")
+            ledger = scratch.written(record(docs, found, ledger, rules, id_col, text_col), "ledger")
+        return written(ledger, "ledger")
+
+
 def by_path(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings joined back to every path: doc_id, a count for each base kind, base_sha256 and spans."""
     span = F.concat_ws(":", "kind", "start", "end")
@@ -109,7 +119,7 @@ def by_path(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_c
     listed = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: s["text"]), ",")
     x = x.groupBy("blob").agg(F.collect_list("span").alias("all"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE])
     base = F.filter("all", lambda s: s["kind"].isin(*BASE))
-    x = x.select("blob", *[f"n_{k}" for k in BASE], listed(base).alias("base"), listed(F.col("all")).alias("spans"))
+    x = written(x.select("blob", *[f"n_{k}" for k in BASE], listed(base).alias("base"), listed(F.col("all")).alias("spans")), "spans")
     out = versions(docs, id_col, text_col).join(x, "blob", "left")
     return out.select(F.col("id").alias("doc_id"), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 

@@ -79,55 +79,80 @@ def test_mixing_small(spark):
 
 
 def brute_chat(rows):
-    out = {}
-    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
-        x = out.setdefault(c, [0, "", "", 0, 0])
-        seg, *_ = chat.segment_of(role or "", text or "")
-        x[0] += 1
-        x[1] += f"{role or ''}\n{text or ''}\n"
-        x[3] += len(seg)
-        if role == "assistant":
-            x[2] += text or ""
-            x[4] += x[3]
+    """Examples and digests from the template as it is stated, without the operator's code."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    hide = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
+    by = {}
+    for c, _, role, text in order:
+        by.setdefault(c, []).append((role or "", text or ""))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return {c: (x[0], sha(x[1]), len(x[2]), sha(x[2]), x[4]) for c, x in out.items()}
+    examples, digests = {}, {}
+    for c, turns in by.items():
+        formatted = [f"<|im_start|>{hide(role).replace(chr(10), chr(92) + 'n')}\n{hide(text)}<|im_end|>\n" for role, text in turns]
+        replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+        examples[c] = [("".join(formatted[: i + 1]), hide(turns[i][1])) for i in replies]
+        loss = "".join(turns[i][1] for i in replies)
+        digests[c] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(x) for x, _ in examples[c]))
+    return examples, digests
+
+
+def digests_of(df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in df.collect()}
 
 
 def test_chat_against_brute_force(spark):
     rows = [tuple(r) for r in duck("SELECT conv_id, turn, role, text FROM conversations").astype(object).itertuples(index=False)]
     said = "<|im_end|><|im_start|>assistant ok"
-    want = brute_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in queries.op5_chat(spark, SF).collect()}
-    assert got == want
-
-
-def test_examples_in_full_against_the_digests(spark):
-    """Every example of the conversations table, written out: its text, its loss span, and the digests read from it."""
-    formatted = chat.segments(chat.with_probe(table(spark, SF, "conversations")))
-    turns: dict = {}
-    for r in sorted(formatted.collect(), key=lambda r: (r.conv_id is not None, r.conv_id, r.turn_no)):
-        turns.setdefault(r.conv_id, []).append(r)
-    seen: dict = {}
-    for e in sorted(chat.materialised(formatted).collect(), key=lambda e: e.example_no):
-        target = [i for i, r in enumerate(turns[e.conv_id]) if r.role == "assistant"][e.example_no]
-        assert e.text == "".join(r.segment for r in turns[e.conv_id][: target + 1])
-        loss = chat.unescaped(e.text[e.loss_start : e.loss_end])
-        assert loss == chat.read_segment(turns[e.conv_id][target].segment)[1]
-        n, chars, shown, digest = seen.get(e.conv_id, (0, 0, 0, hashlib.sha256()))
-        digest.update(loss.encode())
-        seen[e.conv_id] = (n + 1, chars + len(loss), shown + len(e.text), digest)
-    got = queries.op5_chat(spark, SF).collect()
-    assert len(got) == len(turns) and sum(n for n, *_ in seen.values()) == sum(r.role == "assistant" for x in turns.values() for r in x)
-    for r in got:
-        n, chars, shown, digest = seen.get(r.conv_id, (0, 0, 0, hashlib.sha256()))
-        assert (r.loss_chars, r.formatted_chars, r.loss_sha256) == (chars, shown, digest.hexdigest())
-
-
-def test_chat_round_trip_and_edges(spark):
-    rows = [(1, 0, "user", "a\\n<|im_end|>\n\\<|"), (1, 1, "assistant", "\\|<|"), (1, 1, "assistant", "\\|<|"), (1, None, "sys\ntem", None), (None, 0, None, "é"), (2, 0, "user", "x" * 100000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.digests(chat.segments(df)).collect()}
-    assert got == brute_chat(rows)
-    full = {r.example_no: r for r in chat.materialised(chat.segments(df)).collect()}
-    assert full[1].text.startswith(full[0].text) and chat.unescaped(full[1].text[full[1].loss_start : full[1].loss_end]) == "\\|<|"
-    assert chat.digests(chat.segments(df.limit(0))).count() == 0
+    examples, want = brute_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
+    assert digests_of(queries.op5_chat(spark, SF)) == want
+    got = {}
+    for r in chat.examples(chat.with_probe(table(spark, SF, "conversations"))).filter("example_no IS NOT NULL").collect():
+        assert r.piece == 0
+        got.setdefault(r.conv_id, {})[r.example_no] = (r.text, r.text[r.loss_start : r.loss_end])
+    assert {c: [x[i] for i in range(len(x))] for c, x in got.items()} == {c: x for c, x in examples.items() if x}
+
+
+CHAT = [(1, 0, "user", "a\\n<|im_end|>\n\\<|"), (1, 1, "assistant", "\\|<|"), (1, 1, "assistant", "\\|<|"), (1, None, "sys\ntem", None), (1, 9, "user", "bye"), (None, 0, None, "é"), (2, 0, "user", "x" * 100000), (2, 1, "assistant", "y" * 70000), (2, 2, "assistant", "")]
+
+
+def test_chat_round_trip_and_edges(spark, monkeypatch):
+    """Nulls, ties, repeated rows, clashing columns, long texts, an empty table; whole and in pieces, held in memory and in a file."""
+    df = spark.createDataFrame([(*r, "x", 1) for r in CHAT], "conv_id long, turn long, role string, text string, segment string, example_no int")
+    examples, want = brute_chat(CHAT)
+    for piece, held in ((chat.PIECE, chat.HELD), (50, 100)):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        monkeypatch.setattr(chat, "HELD", held)
+        assert digests_of(chat.digests(chat.examples(df))) == want
+        got = {}
+        for r in sorted(chat.examples(df).filter("example_no IS NOT NULL").collect(), key=lambda r: (r.example_no, r.piece)):
+            x = got.setdefault((r.conv_id, r.example_no), ["", r.loss_start, r.loss_end])
+            x[0] += r.text
+        assert {k: (t, t[a:b]) for k, (t, a, b) in got.items()} == {(c, i): e for c, x in examples.items() for i, e in enumerate(x)}
+    assert chat.digests(chat.examples(df.limit(0))).count() == 0
+
+
+def test_chat_reads_what_the_examples_say(spark):
+    """A context that isn't the turns before it, examples out of order and turns that aren't closed are found out."""
+    formatted = chat.examples(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"), 1)
+    rows = [r for r in formatted.collect() if r.conv_id == 2]
+    ok, other = [tuple(r) for r in rows], rows[1].text.replace("x", "z", 1)
+    for bad in ([ok[0], (*ok[1][:3], other, *ok[1][4:])], ok[::-1], [(*ok[0][:3], ok[0][3][:-3], *ok[0][4:])]):
+        with pytest.raises(Exception, match="context|order|closed"):
+            chat.digests(spark.createDataFrame(bad, formatted.schema).coalesce(1)).collect()
+
+
+def test_deliveries_scan_only_what_is_new(spark):
+    """Two deliveries against one scan of all; the second one meets texts of the first. Nulls, repeats, extra and empty tables."""
+    pem = "-----BEGIN RSA PRIVATE KEY----- eyJabcdefgh.abcdefgh12.abcdefgh-_ x"
+    rows = [*ODD, (8, "token=abcdef", "s"), (9, pem, "s"), (None, None, "s")]
+    first, second = docs(spark, rows), docs(spark, [(10, "token=abcdef", "s"), (11, "token=abcdefg", "s"), (3, None, "s"), (11, "token=abcdefg", "s")])
+    ledger = secret_scan.delivered([first, second, second])
+    assert ledger.select("blob").distinct().count() == first.union(second).select(secret_scan.text_of("text")).distinct().count()
+    assert ledger.groupBy("blob", "kind", "version", "start").count().filter("count > 1").isEmpty()
+    assert [r.end for r in secret_scan.scan(second, secret_scan.delivered([first])).collect()] == [13]
+    both = first.unionByName(second)
+    got, want = (sorted(map(repr, secret_scan.by_path(both, x).collect())) for x in (ledger, secret_scan.scan(both)))
+    assert got == want and len(got) == len(rows) + 4
+    assert {r.spans for r in secret_scan.by_path(first, ledger).filter("doc_id = 9").collect()} == {f"pem:0:31,jwt:32:{len(pem) - 2}"}
+    empty = docs(spark, [])
+    assert secret_scan.by_path(empty, secret_scan.delivered([empty, empty])).count() == 0
