@@ -32,6 +32,7 @@ from hashlib import blake2b
 from html import unescape
 from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,10 +40,8 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import Scratch, tidy
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Element names of HTML by their role, and words in class and id that name what isn't the article.
@@ -65,6 +64,14 @@ HEADERS = frozenset("header banner topbar".split())
 STATES = frozenset("has no not non with without is open opened closed on off none enabled disabled active collapsed accepted".split())
 BEGINS = frozenset("widget widgets".split())
 MAIN = frozenset(("article", "main"))
+# Elements that end tags don't reach beyond.
+WALLS = {"p": frozenset("article main section div td th li blockquote body".split()), "like": frozenset("ul ol dl table menu select article main".split()), "inner": MAIN, "none": frozenset()}
+INNER = frozenset("p li div span".split())
+
+#: Of one line, as many places are listed as bits are set one by one; of other lines the bits are kept.
+OFTEN = 64
+#: Pairs of equal lines that an alignment lists; with more of them, rows of bits are compared.
+MATCHES = 1 << 21
 
 #: Bytes of a row of copies that are held in memory while the page after them is looked for; more go to a file of the task.
 HELD = 1 << 24
@@ -123,10 +130,59 @@ def _inside(outer: int, here: int, main: str, in_article: bool) -> int:
 Line = tuple[str, str]
 
 
+class _Tokens:
+    """Tags and comments of a page, in a number of steps in proportion to its length whatever stands in it."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.vain: list[tuple[list[int], list[int]]] = []  # where quotes began and ended in searches that found no end
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose attributes start here: the first > outside quotes; if there is none, the first one. Searches
+        that come to nothing run to the end of the page; one that starts outside the quotes of an earlier one would run as it did."""
+        for begins, ends in self.vain:
+            k = bisect_right(begins, at) - 1
+            if k < 0 or ends[k] <= at:
+                return self.html.find(">", at)
+        begins, ends, i = [], [], at
+        while m := QUOTE.search(self.html, i):
+            if m[0] == ">":
+                return m.start()
+            i = self.html.find(m[0], m.end()) + 1
+            begins.append(m.start())
+            ends.append(i or len(self.html) + 1)
+            if not i:
+                break
+        self.vain.append((begins, ends))
+        return self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag; without a name, what isn't a tag, with its text."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(html), False, "", ""
+            if html.startswith("<![CDATA[", at):
+                end = html.find("]]>", at + 9)
+                return at, end + 3 if end >= 0 else len(html), False, "", html[at + 9 : end if end >= 0 else len(html)]
+            if self.last > at:
+                if html.startswith(("<!", "<?"), at):
+                    return at, html.find(">", at) + 1, False, "", ""
+                if m := NAME.match(html, at + 1):
+                    end = self._end(m.end())
+                    if end >= 0:
+                        return at, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+            at += 1
+        return None
+
+
 def lines_of(html: str) -> list[Line]:
     """Text lines of a page in order, each with its region: out (never the article), main (inside article or main), other."""
     out: list[Line] = []
     stack: list[tuple[str, int, bool, bool]] = []  # name, state, in main or article, in article; they hold for all inside
+    places: dict[str, list[int]] = {}  # of the elements of a name in the stack
     held: list[str] = []
 
     def flush() -> None:
@@ -137,41 +193,43 @@ def lines_of(html: str) -> list[Line]:
                 _, state, main, _ = stack[-1] if stack else ("", KEPT, False, False)
                 out.append((text, "held" if state == HELD_ARTICLE else "out" if state else "main" if main else "other"))
 
-    def close(names: frozenset[str] | set[str], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+    def innermost(names: frozenset[str] | tuple[str, ...]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+    def close(names: tuple[str, ...], walls: frozenset[str]) -> None:
+        i = innermost(names)
+        if i < 0 or i < innermost(walls):
+            return
+        flush()
+        while len(stack) > i:
+            places[stack.pop()[0]].pop()
 
+    tokens = _Tokens(html)
     at, end = 0, len(html)
     while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
+        token = tokens.next(at)
+        text = html[at : token[0] if token else end]
         if text:
             held.append(unescape(text))
-        if not m:
+        if not token:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, closes, tag, own_text = token
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:].removesuffix("]]>"))
+            if own_text:
+                held.append(own_text)
             continue
-        if m[1] or m[4]:
+        if closes:
             if tag not in INLINE:
                 flush()
-            close({tag}, frozenset(("article", "main")) if tag in INLINE or tag in ("p", "li", "div", "span") else frozenset())
+            close((tag,), WALLS["inner" if tag in INLINE or tag in INNER else "none"])
             continue
-        attributes = _attributes(m[3] if m[2] else m[6])
+        attributes = _attributes(own_text)
         if tag not in INLINE:
             flush()
         if tag in CLOSES_P:
-            close({"p"}, frozenset("article main section div td th li blockquote body".split()))
+            close(("p",), WALLS["p"])
         if tag in LIKE:
-            close(set(LIKE[tag].split()), frozenset("ul ol dl table menu select article main".split()))
+            close(tuple(LIKE[tag].split()), WALLS["like"])
         if tag in RAW:
             close_at = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             stop = html.find(">", close_at.end() - 1) if close_at else -1
@@ -179,7 +237,7 @@ def lines_of(html: str) -> list[Line]:
             continue
         if tag in VOID:
             continue
-        if (m[3] if m[2] else m[6]).endswith("/") and tag in ("svg", "path", "use"):
+        if own_text.endswith("/") and tag in ("svg", "path", "use"):
             continue
         _, state, main, article = stack[-1] if stack else ("", KEPT, False, False)
         here = _dropped(tag, attributes, main)
@@ -188,43 +246,97 @@ def lines_of(html: str) -> list[Line]:
         if here and tag in INLINE:
             flush()
         own = _main(tag, attributes)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, _inside(state, here, own, article), main or bool(own), article or own == "article"))
     flush()
     held_is = "out" if any(region == "main" for _, region in out) else "main"
     return [(x, held_is if region == "held" else region) for x, region in out]
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b. The k-th time a line stands in a is matched with the k-th time
-    in b, which makes lines unique, so the subsequence is a longest increasing one: n log n steps for pages of any length."""
-    seen: dict[str, int] = {}
-    where: dict[tuple[str, int], int] = {}
-    for i, x in enumerate(b):
-        k = seen[x] = seen.get(x, -1) + 1
-        where[x, k] = i
-    seen = {}
+def _few(a: list[str], b: list[str], places: dict[str, list[int]]) -> list[int]:
+    """Places in a of a longest common subsequence, by a longest increasing one over all matches: r log n steps for r matches."""
     tails: list[int] = []
-    last: list[int] = []
-    before: dict[int, int] = {}
+    last: list[tuple] = []  # chains of (place in a, chain before it)
     for i, x in enumerate(a):
-        k = seen[x] = seen.get(x, -1) + 1
-        at = where.get((x, k))
-        if at is None:
-            continue
-        j = bisect_left(tails, at)
-        if j:
-            before[i] = last[j - 1]
-        if j == len(tails):
-            tails.append(at)
-            last.append(i)
-        else:
-            tails[j], last[j] = at, i
-    out: set[int] = set()
-    i = last[-1] if last else None
-    while i is not None:
-        out.add(i)
-        i = before.get(i)
-    return out
+        for at in reversed(places.get(x, ())):
+            j = bisect_left(tails, at)
+            node = (i, last[j - 1] if j else None)
+            if j == len(tails):
+                tails.append(at)
+                last.append(node)
+            else:
+                tails[j], last[j] = at, node
+    out, node = [], last[-1] if last else None
+    while node:
+        out.append(node[0])
+        node = node[1]
+    return out[::-1]
+
+
+class _Rows:
+    """Rows of the table of common lengths of lines with b, a bit for each line of b: a bit is 0 where the length grows."""
+
+    def __init__(self, b: list[str]):
+        self.size = len(b)
+        self.places: dict[str, list[int]] = {}
+        for j, x in enumerate(b):
+            self.places.setdefault(x, []).append(j)
+        self.masks: dict[str, int] = {}
+
+    def mask(self, x: str) -> int:
+        if x in self.masks:
+            return self.masks[x]
+        bits = bytearray(self.size // 8 + 1)
+        for j in self.places[x]:
+            bits[j >> 3] |= 1 << (j & 7)
+        found = int.from_bytes(bits, "little")
+        if len(self.places[x]) > OFTEN:
+            self.masks[x] = found
+        return found
+
+    def lengths(self, a: list[str]) -> np.ndarray:
+        """Length of a longest common subsequence of a with each beginning of b."""
+        full = (1 << self.size) - 1
+        row = full
+        for x in a:
+            if x in self.places:
+                both = row & self.mask(x)
+                row = ((row + both) | (row - both)) & full
+        bits = np.unpackbits(np.frombuffer(row.to_bytes(self.size // 8 + 1, "little"), np.uint8), bitorder="little")[: self.size]
+        return np.concatenate([np.zeros(1, np.int64), np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _many(a: list[str], b: list[str], start: int) -> list[int]:
+    """The same by halving a: the rows of either half show where b is to be cut. Memory in proportion to the lines."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [start] if a[0] in b else []
+    half = len(a) // 2
+    ahead, back = _Rows(b).lengths(a[:half]), _Rows(b[::-1]).lengths(a[half:][::-1])
+    cut = int(np.argmax(ahead + back[::-1]))
+    return _many(a[:half], b[:cut], start) + _many(a[half:], b[cut:], start + half)
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of a longest common subsequence with b. Lines that stand in one of them only can't be in it; where few pairs
+    of places match, it is an increasing sequence of them, else rows of bits are compared."""
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < most - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = {*range(low), *range(len(a) - high, len(a))}
+    mine, theirs = a[low : len(a) - high], b[low : len(b) - high]
+    both = set(mine) & set(theirs)
+    at = [i for i, x in enumerate(mine) if x in both]
+    x, y = [mine[i] for i in at], [t for t in theirs if t in both]
+    places: dict[str, list[int]] = {}
+    for j, t in enumerate(y):
+        places.setdefault(t, []).append(j)
+    found = _few(x, y, places) if sum(len(places[t]) for t in x) <= MATCHES else _many(x, y, 0)
+    return out | {low + at[i] for i in found}
 
 
 def main_text(page: list[Line], neighbour: list[Line] | None) -> str:

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 
 from netloom.llm import html_text, jaccard_join, queries
 from netloom.llm.common import Scratch
@@ -197,15 +199,31 @@ def brute_lcs(a, b):
     return t[-1][-1]
 
 
-def test_alignment_is_a_longest_common_subsequence():
+@pytest.mark.parametrize("matches", [1 << 21, 0])
+def test_alignment_is_a_longest_common_subsequence(matches, monkeypatch):
+    """Lines that repeat and lines that don't, by either way of finding it."""
+    monkeypatch.setattr(html_text, "MATCHES", matches)
     r = random.Random(3)
-    for _ in range(300):
-        a, b = (r.sample(range(30), r.randint(0, 20)) for _ in range(2))
+    for _ in range(600):
+        kinds = r.choice([2, 3, 8, 40])
+        a, b = ([r.randrange(kinds) for _ in range(r.randint(0, 20))] for _ in range(2))
         got = sorted(html_text.shared(list(map(str, a)), list(map(str, b))))
         assert len(got) == brute_lcs(a, b)
         it = iter(b)
         assert all(a[i] in it for i in got)
-    assert html_text.shared(["a", "a", "b"], ["a", "b"]) == {0, 2}
+    assert len(html_text.shared(["x", "y", "x"], ["y", "x"])) == 2
+    a, b = ([str(r.randrange(40)) for _ in range(6000)] for _ in range(2))
+    began = time.time()
+    assert len(html_text.shared(a, b)) > 1200 and time.time() - began < 20
+
+
+def test_hostile_pages_take_a_time_in_proportion_to_their_length():
+    n = 1 << 20
+    for html in ("<div>" * (n // 10) + "</b>" * (n // 8), "<a x'" * (n // 6), '<a b="' * (n // 6), "<!a" * (n // 3), "<" * n, "<b hidden><article>" + "<div>" * (n // 10) + "</b>" * (n // 8), "<ul><li>" * (n // 8), "<a '\"" * (n // 6) + ">"):
+        began = time.time()
+        html_text.lines_of(html)
+        assert time.time() - began < 15, html[:20]
+    assert html_text.lines_of("<a x='<p>One</p><i b=\"1\">Two</i><p>Three") == [("One", "other"), ("Two", "other"), ("Three", "other")]
 
 
 def test_differencing_of_pages_without_an_article(spark):
