@@ -2,12 +2,13 @@
 
 DataFrame operations only. Texts are equal when identical after lower-casing A-Z.
 
-Few rows stand in a group with others, and only their texts move. A filter of 2^26 bits (8 MB, whatever the input) tells
+Few rows stand in a group with others, and only their texts move. A filter of 2^24 bits (2 MB, whatever the input) tells
 most of the other rows apart where they are read; of these it lets some through as its bits fill up, and the exact join
 that follows drops them.
 
 A text may be that of a large share of all rows: groups are counted before anything moves, and stand in a table before they are
-joined, so that both sides are plain shuffles, which Spark splits where they are skewed.
+joined, so that both sides are plain shuffles, which Spark splits where they are skewed (merge joins, as a shuffle that
+is joined to a broadcast is not split).
 
 Defined results: a null text is the empty text. A null id sorts below every other id, so it stays only where
 all ids of a group are null. Rows repeated with the same id and text count in the group's size; one of them stays.
@@ -26,7 +27,7 @@ from netloom.llm.common import LOWER, UPPER, Scratch, ascii_lower, text_of, with
 #: Members of one group that meet one copy of the keeper's bytes; larger groups are salted into more parts.
 PER_SALT = 512
 #: Bits of the filter, as a power of two, and of one of its rows.
-FILTER_BITS, ROW_BITS = 26, 15
+FILTER_BITS, ROW_BITS = 24, 15
 
 
 def content_hash(t: Column) -> Column:
@@ -57,7 +58,7 @@ def _place(raw: Column, id_: Column) -> Column:
 
 
 def _bits(members: DataFrame) -> DataFrame:
-    """The filter: at most 2^11 rows of 4 KB, with a bit for the place of every member (raw, id)."""
+    """The filter: at most 2^9 rows of 4 KB, with a bit for the place of every member (raw, id)."""
     at = _place(F.col("raw"), F.col("id"))
     return members.groupBy(F.shiftright(at, ROW_BITS).alias("filter_row")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("filter_bits"))
 
@@ -65,7 +66,7 @@ def _bits(members: DataFrame) -> DataFrame:
 def _candidates(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """rows (raw, id and more) with may_be: false for rows that are no members."""
     x = rows.withColumn("filter_at", _place(F.col("raw"), F.col("id")))
-    x = x.join(F.broadcast(bits), F.shiftright("filter_at", ROW_BITS) == F.col("filter_row"), "left")  # 8 MB at most
+    x = x.join(F.broadcast(bits), F.shiftright("filter_at", ROW_BITS) == F.col("filter_row"), "left")  # 2 MB at most
     place = F.col("filter_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int")
     byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
@@ -76,7 +77,7 @@ def _members(digests: DataFrame, best: Callable, scratch: Scratch) -> tuple[Data
     """Groups of more than one row (h, keep_id, group_size, parts), their members (h, id, raw, keep_id, parts), and the filter."""
     groups = digests.groupBy("h").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     groups = scratch.written(groups.withColumn("parts", F.ceil(F.col("group_size") / PER_SALT).cast("int")), "groups")
-    members = scratch.written(digests.select("h", "id", "raw").join(groups.select("h", "keep_id", "parts"), "h").distinct(), "members")
+    members = scratch.written(digests.select("h", "id", "raw").join(groups.select("h", "keep_id", "parts").hint("merge"), "h").distinct(), "members")
     return groups, members, scratch.written(_bits(members), "filter")
 
 
@@ -95,7 +96,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, scratch: Scr
 
     rows = digests.groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("raw"))
     alone = F.col("group_size").isNull()
-    out = rows.join(groups.drop("parts"), "h", "left")
+    out = rows.join(groups.drop("parts").hint("merge"), "h", "left")
     out = out.withColumn("keep_id", F.when(alone, F.col("id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", "n_rows"))
     if not collided.isEmpty():
         split = found.join(collided, "h", "left_semi").groupBy("h", F.unhex(F.sha2("t", 256)).alias("sha")).agg(best("id").alias("own_id"), F.count(F.lit(1)).alias("own_size"))

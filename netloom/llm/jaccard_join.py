@@ -263,7 +263,7 @@ def differences(x: np.ndarray, pivot: np.ndarray, num: int, den: int, common: np
 
 
 #: Sets of a pivot that are streamed together.
-PART = 512
+PART = 128
 MARKS = ("m0", "m1", "m2", "m3")
 #: A difference is common if so many sets of its pivot have it, and at least one in so many of them.
 COMMON, COMMON_SHARE = 4, 512
