@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from netloom import sinks
-from netloom.config import from_args, parser
+from netloom.config import from_args, parser, to_toml
 from netloom.plans import engine
 from netloom.sources import events, pcap
 
@@ -15,6 +15,8 @@ from netloom.sources import events, pcap
 def main(argv: list[str]) -> int:
     args = parser().parse_args(argv)
     config = from_args(args)
+    if args.save_config:
+        to_toml(config, args.save_config)
     spark = SparkSession.builder.appName("netloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     packets = pcap.packets(spark, args.path) if args.command == "pcap" else events.normalised(spark.read.parquet(args.path), ingress_only=args.ingress_only)
     rows = engine.extract(packets, config)

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import json
 import tomllib
 from dataclasses import dataclass, fields
 
-FEATURE_SETS = ("basic", "cic", "cidds", "nfstream", "wide", "custom")
-
-
 @dataclass(frozen=True)
 class Config:
     """Timeouts are in seconds. sweep: exact looks for expired flows on the clock of the packets as one table of flows
@@ -27,8 +25,6 @@ class Config:
     packet_graph: bool = False
 
     def __post_init__(self) -> None:
-        if self.features not in FEATURE_SETS:
-            raise ValueError(f"features must be one of {', '.join(FEATURE_SETS)}")
         if self.output not in ("print", "csv") or (self.output == "csv" and not self.export_path):
             raise ValueError("output is print, or csv with an export_path")
         if self.sweep not in ("exact", "none"):
@@ -44,10 +40,17 @@ def from_toml(path: str) -> Config:
     return Config(**{k.replace("-", "_"): v for k, v in flat.items() if k.replace("-", "_") in known})
 
 
+def to_toml(config: Config, path: str) -> None:
+    """The options as a TOML file that from_toml() reads."""
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else json.dumps(v, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[config]\n" + "".join(f"{x.name} = {text(v)}\n" for x in fields(config) if (v := getattr(config, x.name)) is not None))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="netloom", description="Flow features from packets")
     p.add_argument("--config-file")
-    p.add_argument("-f", "--features", choices=FEATURE_SETS)
+    p.add_argument("-f", "--features", help="basic, cic, cidds, nfstream, wide, custom or a registered set")
     p.add_argument("--active-timeout", type=int)
     p.add_argument("--idle-timeout", type=int)
     p.add_argument("--early-export", type=int)
@@ -57,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--export-path")
     p.add_argument("--header", action="store_true", default=None)
     p.add_argument("--drop-contaminant-features", action="store_true", default=None)
+    p.add_argument("--save-config", help="writes the options to a TOML file")
     p.add_argument("--packet-graph", action="store_true", default=None)
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("pcap").add_argument("path")

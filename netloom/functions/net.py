@@ -73,7 +73,11 @@ def iana_port(port: Column) -> Column:
 
 
 def ip_scope(ip: Column) -> Column:
-    n, h = ipv4_number(ip), ipv6_bytes(ip)
+    return scope_of(ipv4_number(ip), ipv6_bytes(ip))
+
+
+def scope_of(n: Column, h: Column) -> Column:
+    """Of an IPv4 address as a number or, where that is null, an IPv6 address as hex digits."""
     within = lambda low, high: n.between(low, high)
     v4 = cases(
         (n == 0xFFFFFFFF, "broadcast"), (n == 0, "unspecified"), (within(0x7F000000, 0x7FFFFFFF), "loopback"), (within(0xA9FE0000, 0xA9FEFFFF), "link_local"),
@@ -85,7 +89,7 @@ def ip_scope(ip: Column) -> Column:
         (h == "0" * 32, "unspecified"), (h == "0" * 31 + "1", "loopback"), (start("fe8", "fe9", "fea", "feb"), "link_local"), (start("fc", "fd"), "private"), (start("ff"), "multicast"),
         otherwise="global",
     )
-    return F.when(is_ipv4(ip), v4).otherwise(v6)
+    return F.when(n.isNotNull(), v4).otherwise(v6)
 
 
 def path_locality(source: Column, destination: Column) -> Column:

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.config import Config
 from netloom.operators import features
 from netloom.operators.segment import segmented
-from netloom.plans.featuresets import feature_set
+from netloom.plans.featuresets import FeatureSet, feature_set
 
 
-def flows(packets: DataFrame, config: Config) -> DataFrame:
-    """All aggregates of all flows (lazy: only selected ones are computed), and of early snapshots if configured."""
+def flows(packets: DataFrame, config: Config, names: Container[str] | None = None) -> DataFrame:
+    """Aggregates of all flows, all or those in `names`, and of early snapshots if configured."""
     seg = segmented(packets, config)
-    out = features.flows(seg)
+    out = features.flows(seg, names)
     if config.early_export is not None:
-        early = features.snapshots(seg, config.early_export)
-        out = early.unionByName(out.withColumn("snapshot_packet_id", F.lit(None).cast("long")))
+        early = features.snapshots(seg, config.early_export, names)
+        out = early.unionByName(out.withColumn("snapshot_packet_id", F.lit(None).cast("long")), allowMissingColumns=True)
     return out
 
 
+def rows_of(packets: DataFrame, config: Config, fs: FeatureSet, clean: bool = False) -> DataFrame:
+    """Rows of a feature set, from the aggregates that it names."""
+    return fs.of(flows(packets, config, fs.reads(packets.sparkSession, clean)), clean)
+
+
 def extract(packets: DataFrame, config: Config) -> DataFrame:
     """Rows of the configured feature set."""
-    return feature_set(config.features).of(flows(packets, config), config.drop_contaminant_features)
+    return rows_of(packets, config, feature_set(config.features), config.drop_contaminant_features)
 
 
 def packet_rate(packets: DataFrame, width: str = "100 milliseconds") -> DataFrame:

@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import net
+from netloom.operators import features
 from netloom.operators.features import PARTS
 from netloom.schema import FLAGS
 
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """A schema of flow rows. Register one's own to add a feature set; its expressions read the aggregates of features.py."""
+    """A schema of flow rows. Register one's own to add a feature set; its expressions read the aggregates of features.py.
+    steps are columns that several expressions share, each step made from those before it."""
 
     name: str
     full: dict[str, Column]
     clean: dict[str, Column]
+    steps: tuple[dict[str, Column], ...] = ()
 
     def of(self, flows: DataFrame, clean: bool = False) -> DataFrame:
+        for step in self.steps:
+            flows = flows.withColumns(step)
         return flows.select(*[c.alias(n) for n, c in (self.clean if clean else self.full).items()])
 
+    def reads(self, spark: SparkSession, clean: bool = False) -> frozenset[str]:
+        """Names of the aggregates that the schema is made of."""
+        kind = lambda n: "string" if n in _TEXT else "double" if n.endswith(tuple(f"_{k}" for k in PARTS)) else "long"
+        names = features.known()
+        empty = spark.createDataFrame([], ", ".join(f"`{n}` {kind(n)}" for n in dict.fromkeys([*names, "key_a", "key_b", "protocol", "flow_seq"])))
+        plan = self.of(empty, clean)._jdf.queryExecution().analyzed()
+        found: set[str] = set()
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            found |= {a.name() for a in _each(node.references())}
+            todo += list(_each(node.children()))
+        return frozenset(found & set(names))
+
+
+_TEXT = ("source_ip", "destination_ip", "close_cause", "close_style", "key_a", "key_b")
+
+
+def _each(seq) -> Iterator:
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
 
 def _c(*names: str) -> dict[str, Column]:
     return {n: F.col(n) for n in names}
@@ -92,7 +121,9 @@ def _custom() -> FeatureSet:
 
 
 def _wide() -> FeatureSet:
-    scope = {s: net.ip_scope(F.col(f"{s}_ip")) for s in ("source", "destination")}
+    scope = {s: F.col(f"__{s}_scope") for s in ("source", "destination")}
+    address = {f"__{s}_{k}": f(F.col(f"{s}_ip")) for s in scope for k, f in (("v4", net.ipv4_number), ("v6", net.ipv6_bytes))}
+    scopes = {f"__{s}_scope": net.scope_of(F.col(f"__{s}_v4"), F.col(f"__{s}_v6")) for s in scope}
     us = _duration()
     ids = {"flow_id": flow_id(), **_c("source_ip", "source_port", "destination_ip", "destination_port", "protocol")}
     head = {
@@ -123,7 +154,7 @@ def _wide() -> FeatureSet:
         body |= {f"{s}_subflow_packets_mean": net.safe_div(F.col(f"{s}_payload_len_count"), F.col("subflow_count")), f"{s}_subflow_bytes_mean": net.safe_div(F.col(f"{s}_payload_len_total"), F.col("subflow_count"))}
     body["up_down_ratio"] = net.safe_div(F.col("bwd_payload_len_count"), F.col("fwd_payload_len_count"))
     clean_head = {**_ports("source_port_iana", "destination_port_iana"), **_c("protocol"), **_drop(head, "timestamp_first", "timestamp_last"), **{k: timing[k] for k in ("fwd_duration_ms", "bwd_duration_ms")}}
-    return FeatureSet("wide", {**ids, **head, **timing, **body}, {**clean_head, **body})
+    return FeatureSet("wide", {**ids, **head, **timing, **body}, {**clean_head, **body}, (address, scopes))
 
 
 def _cic() -> FeatureSet:
@@ -176,15 +207,18 @@ def _nfstream() -> FeatureSet:
     return FeatureSet("nfstream", d, {**_ports("src_port_iana", "dst_port_iana"), **_drop(d, *gone)})
 
 
+_makers = {"basic": _basic, "cic": _cic, "cidds": _cidds, "nfstream": _nfstream, "wide": _wide, "custom": _custom}
 _made: dict[str, FeatureSet] = {}
 
 
 def feature_set(name: str) -> FeatureSet:
     if name not in _made:
-        makers = {"basic": _basic, "cic": _cic, "cidds": _cidds, "nfstream": _nfstream, "wide": _wide, "custom": _custom}
-        _made[name] = makers[name]()
+        if name not in _makers:
+            raise ValueError(f"features must be one of {', '.join([*_makers, *_made])}")
+        _made[name] = _makers[name]()
     return _made[name]
 
 
 def register(fs: FeatureSet) -> None:
+    """Makes a feature set known by its name, for options and the command line, too."""
     _made[fs.name] = fs

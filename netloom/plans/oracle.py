@@ -190,4 +190,35 @@ def sets() -> dict[str, dict[str, str]]:
         wide |= {f"{s}_subflow_packets_mean": ratio(f"{s}_payload_len_count", "subflow_count"), f"{s}_subflow_bytes_mean": ratio(f"{s}_payload_len_total", "subflow_count")}
     wide["up_down_ratio"] = ratio("bwd_payload_len_count", "fwd_payload_len_count")
     out["wide"] = wide
+    out["cic"] = _cic()
     return out
+
+
+def _cic() -> dict[str, str]:
+    kinds = {"Max": "max", "Min": "min", "Mean": "mean", "Std": "std", "Total": "total"}
+    both = (("Fwd", "fwd"), ("Bwd", "bwd"))
+    d = {"Flow ID": ID, "Src IP": "source_ip", "Src Port": "source_port", "Dst IP": "destination_ip", "Dst Port": "destination_port", "Protocol": "protocol", "Timestamp": utc("first_ts"), "Flow Duration": US,
+         "TCP Handshake Completed": "handshake", "TCP Reset Before Handshake": "reset_before", "TCP Reset After Handshake": "reset_after", "Total Fwd Packet": "fwd_payload_len_count", "Total Bwd packets": "bwd_payload_len_count",
+         "Total Length of Fwd Packet": "fwd_payload_len_total", "Total Length of Bwd Packet": "bwd_payload_len_total"}
+    for n, p in both:
+        d |= {f"{n} Packet Length {k}": f"{p}_payload_len_{kinds[k]}" for k in ("Max", "Min", "Mean", "Std")}
+    d |= {"Flow Bytes/s": per_second("payload_len_total"), "Flow Packets/s": per_second("payload_len_count")}
+    d |= {f"Flow IAT {k}": f"iat_{kinds[k]} * 1000.0::DOUBLE" for k in ("Mean", "Std", "Max", "Min")}
+    for n, p in both:
+        d |= {f"{n} IAT {k}": f"{p}_iat_{kinds[k]} * 1000.0::DOUBLE" for k in ("Total", "Mean", "Std", "Max", "Min")}
+    d |= {f"{n} {f.upper()} Flags": f"{p}_{f}_flag_count" for f in ("psh", "urg", "rst") for n, p in both}
+    d |= {f"{n} Header Length": f"{p}_header_len_total" for n, p in both} | {f"{n} Packets/s": per_second(f"{p}_payload_len_count") for n, p in both}
+    d |= {f"Packet Length {k}": f"payload_len_{kinds[k]}" for k in ("Min", "Max", "Mean", "Std")} | {"Packet Length Variance": "payload_len_std * payload_len_std"}
+    d |= {f"{f.upper()} Flag Count": flag(f) for f in FLAGS}
+    d |= {"Down/Up Ratio": ratio("bwd_payload_len_count", "fwd_payload_len_count"), "Average Packet Size": "payload_len_mean"}
+    d |= {f"{n} Segment Size Avg": f"{p}_payload_len_mean" for n, p in both}
+    for n, p in both:
+        d |= {f"{n} Bytes/Bulk Avg": f"{p}_bulk_bytes_mean", f"{n} Packet/Bulk Avg": f"{p}_bulk_packets_mean", f"{n} Bulk Rate Avg": bulk_rate(p)}
+        d |= {f"Subflow {n} Packets": ratio(f"{p}_payload_len_count", "subflow_count"), f"Subflow {n} Bytes": ratio(f"{p}_payload_len_total", "subflow_count")}
+    d |= {"FWD Init Win Bytes": "fwd_init_window_size", "Bwd Init Win Bytes": "bwd_init_window_size"}
+    d |= {f"{n} Act Data Pkts": f"{p}_non_zero_payload_packets" for n, p in both} | {f"{n} Seg Size Min": f"{p}_header_len_min" for n, p in both}
+    d |= {f"{n} {k}": f"{n.lower()}_{kinds[k]}" for n in ("Active", "Idle") for k in ("Mean", "Std", "Max", "Min")}
+    d |= {"ICMP Code": "icmp_code", "ICMP Type": "icmp_type"}
+    d |= {f"ICMP {n} Count": f"icmp_{n.lower().replace(' ', '_')}_count" for n in ("Echo Request", "Echo Reply", "Error", "Destination Unreachable")}
+    d |= {f"{n} TCP Retrans. Count": f"{p}_retransmission_count" for n, p in both}
+    return d | {"Total TCP Retrans. Count": "fwd_retransmission_count + bwd_retransmission_count", "Total Connection Flow Time": US}

@@ -58,14 +58,14 @@ DOUBLE = {f"{c}" for cols in FAMILIES.values() for c in cols if c.endswith(("_to
 
 def family(names: list[str], config: Config = PLAIN) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(engine.flows(derived.packets(spark, sf_dir), config).select("first_packet_id", *names))
+        return rounded(engine.flows(derived.packets(spark, sf_dir), config, {"first_packet_id", *names}).select("first_packet_id", *names))
 
     return run
 
 
 def schema_of(name: str, clean: bool = False, config: Config = PLAIN) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(feature_set(name).of(engine.flows(derived.packets(spark, sf_dir), config), clean))
+        return rounded(engine.rows_of(derived.packets(spark, sf_dir), config, feature_set(name), clean))
 
     return run
 
@@ -120,6 +120,21 @@ def h2_ipv4_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.packets(spark, sf_dir).select(F.col("source_ip").alias("ip")).distinct().select("ip", net.ip_scope(F.col("ip")).alias("scope"))
 
 
+#: IPv6 addresses of every scope, made from a row's user: prefix and text of each.
+_V6 = (("loopback", "::1"), ("unspecified", "::"), ("link_local", "fe80::"), ("private", "fd00:1::"), ("multicast", "ff02::"), ("global", "2001:db8:0:5::"))
+_V6_TEXT = " ".join(f"WHEN {i} THEN '{a}'" + ("" if n in ("loopback", "unspecified") else " || lower({hex})") for i, (n, a) in enumerate(_V6))
+_V6_SCOPE = "CASE user_id % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_V6)) + " END"
+
+
+@query(f"SELECT DISTINCT user_id, {_V6_SCOPE} AS scope, 6::BIGINT AS version, user_id % 6 IN (0, 1) OR user_id % 6 = 5 AND user_id % 4096 <= 4095 AS before_private FROM events WHERE user_id IS NOT NULL")
+def h3_ipv6_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes, versions and order (against fd00::) of IPv6 addresses in text."""
+    ip = F.expr("CASE user_id % 6 " + _V6_TEXT.format(hex="hex(user_id % 4096 + 16)") + " END")
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id IS NOT NULL").select("user_id", ip.alias("ip")).distinct()
+    low = net.source_first(F.col("ip"), F.lit(0), F.lit("fd00::"), F.lit(0))
+    return x.select("user_id", net.ip_scope(F.col("ip")).alias("scope"), net.ip_version(F.col("ip")).alias("version"), low.alias("before_private"))
+
+
 @query(f"{P} SELECT packet_id, {oracle.locality(oracle.scope('source_ip'), oracle.scope('destination_ip'))} AS locality FROM p")
 def h4_path_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.packets(spark, sf_dir).select("packet_id", net.path_locality(net.ip_scope(F.col("source_ip")), net.ip_scope(F.col("destination_ip"))).alias("locality"))
@@ -138,7 +153,7 @@ def h15_utc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{oracle.walk(ACTIVE, IDLE)}{oracle.FLOWS} SELECT first_packet_id, {oracle.US} AS duration_us, {oracle.US} // 1000 AS duration_ms FROM f")
 def d15_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.col("last_ts") - F.col("first_ts")
-    return engine.flows(derived.packets(spark, sf_dir), PLAIN).select("first_packet_id", us.alias("duration_us"), F.expr("(last_ts - first_ts) div 1000").alias("duration_ms"))
+    return engine.flows(derived.packets(spark, sf_dir), PLAIN, {"first_packet_id", "first_ts", "last_ts"}).select("first_packet_id", us.alias("duration_us"), F.expr("(last_ts - first_ts) div 1000").alias("duration_ms"))
 
 
 _RATES = {"flow_bytes_s": oracle.per_second("payload_len_total"), "fwd_packets_s": oracle.per_second("fwd_payload_len_count"), "fwd_bulk_rate_s": oracle.bulk_rate("fwd"), "bwd_bulk_rate_s": oracle.bulk_rate("bwd"), "up_down_ratio": oracle.ratio("bwd_payload_len_count", "fwd_payload_len_count")}
@@ -178,14 +193,15 @@ FROM s WINDOW w AS (PARTITION BY a, b, protocol, flow_seq ORDER BY packet_id ROW
 SELECT packet_id AS snapshot_packet_id, 'None' AS close_cause, 'none' AS close_style, packet_len_count, bwd_packet_len_count, round(CAST(total AS DOUBLE) + 0.000013::DOUBLE, 4) AS packet_len_total, round(std + 0.000013::DOUBLE, 4) AS packet_len_std, CAST(hs AS BIGINT) AS handshake
 FROM e WHERE (timestamp_us - begun) // 1000000 > {_EARLY} AND term = ''""")
 def i6_early_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = features.snapshots(segmented(derived.packets(spark, sf_dir), PLAIN), _EARLY)
-    return rounded(x.select("snapshot_packet_id", "close_cause", "close_style", "packet_len_count", "bwd_packet_len_count", "packet_len_total", "packet_len_std", "handshake"))
+    names = ("close_cause", "close_style", "packet_len_count", "bwd_packet_len_count", "packet_len_total", "packet_len_std", "handshake")
+    return rounded(features.snapshots(segmented(derived.packets(spark, sf_dir), PLAIN), _EARLY, names).select("snapshot_packet_id", *names))
 
 
 @query()
 def i2_exact_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Config(active_timeout=ACTIVE, idle_timeout=IDLE, expiration_check_interval=7, sweep="exact")
-    return rounded(engine.flows(derived.packets(spark, sf_dir), config).select("first_packet_id", "close_cause", "close_ts", "idle_total", "packet_len_count"))
+    names = ("first_packet_id", "close_cause", "close_ts", "idle_total", "packet_len_count")
+    return rounded(engine.flows(derived.packets(spark, sf_dir), config, names).select(*names))
 
 
 @query(f"{P} SELECT timestamp_us // 100000 * 100000 AS bucket_us, count(*) AS packets FROM p GROUP BY 1")
@@ -200,7 +216,7 @@ def f2_topk_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{oracle.walk(ACTIVE, IDLE)}{oracle.FLOWS} SELECT first_packet_id, first_ts FROM f ORDER BY first_ts, first_packet_id")
 def f1_ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.ordered_export(engine.flows(derived.packets(spark, sf_dir), PLAIN).select("first_packet_id", "first_ts"))
+    return engine.ordered_export(engine.flows(derived.packets(spark, sf_dir), PLAIN, {"first_packet_id", "first_ts"}).select("first_packet_id", "first_ts"))
 
 
 @query(f"{P} SELECT protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM p GROUP BY protocol")
@@ -212,10 +228,14 @@ def g1_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FULL = oracle.sets()
+_CIC_WORDS = ("Mean", "Std", "Max", "Min", "Avg", "/s", "Variance", "Ratio", "Average Packet Size", "IAT Total", "Total Length", "Header Length", "Subflow")
+_CIC_DOUBLES = {n for n in _FULL["cic"] if any(w in n for w in _CIC_WORDS)}
 _WHOLE = {"duration", "Duration", "flow_duration_us"}
 
 
 def _set_sql(name: str, columns: dict[str, str]) -> str:
+    if name == "cic":
+        return f"{oracle.walk(ACTIVE, IDLE)}{oracle.FLOWS} SELECT {_rounded_sql(columns, _CIC_DOUBLES & set(columns))} FROM f"
     kinds = ("total", "mean", "std", "max", "min", "stddev", "_ms", "_s", "rate", "variance", "ratio", "_ps", "bytes", "Bytes", "_fwd", "_bwd")
     doubles = {n for n in columns if (any(n.endswith(k) or f"_{k}_" in n for k in kinds) or n in ("up_down_ratio",)) and n not in ("bidirectional_first_seen_ms", "bidirectional_last_seen_ms", "bidirectional_duration_ms") and "packets_std" != n}
     return f"{oracle.walk(ACTIVE, IDLE)}{oracle.FLOWS} SELECT {_rounded_sql(columns, doubles - _WHOLE)} FROM f"
@@ -224,13 +244,13 @@ def _set_sql(name: str, columns: dict[str, str]) -> str:
 for _n, _columns in _FULL.items():
     _queries[f"j_{_n}"] = schema_of(_n)
     _sql[f"j_{_n}"] = _set_sql(_n, _columns)
-_queries["j_cic"] = schema_of("cic")
 for _n in ("basic", "cic", "cidds", "nfstream", "wide", "custom"):
     _queries[f"j_{_n}_clean"] = schema_of(_n, clean=True)
 _CLEAN = {
     "basic": {"src_port_iana": oracle.iana("source_port"), "dst_port_iana": oracle.iana("destination_port"), **{k: _FULL["basic"][k] for k in ("protocol", "duration", "flow_expire_cause")}},
     "cidds": {"Src Port": oracle.iana("source_port"), "Dst Port": oracle.iana("destination_port"), **{k: _FULL["cidds"][k] for k in ("Proto", "Duration", "Bytes", "Packets", "Flags")}},
     "custom": {k: v for k, v in _FULL["custom"].items() if k != "flow_id"},
+    "cic": {"Src Port": oracle.iana("source_port"), "Dst Port": oracle.iana("destination_port"), **{k: v for k, v in _FULL["cic"].items() if k not in ("Flow ID", "Src IP", "Src Port", "Dst IP", "Dst Port", "Timestamp")}},
     "nfstream": {"src_port_iana": oracle.iana("source_port"), "dst_port_iana": oracle.iana("destination_port"), **{k: v for k, v in _FULL["nfstream"].items() if k not in ("id", "expiration_id", "src_ip", "dst_ip", "src_port", "dst_port") and not k.endswith("_seen_ms")}},
     "wide": {"source_port_iana": oracle.iana("source_port"), "destination_port_iana": oracle.iana("destination_port"), **{k: v for k, v in _FULL["wide"].items() if k not in ("flow_id", "source_ip", "source_port", "destination_ip", "destination_port") and "timestamp" not in k}},
 }

@@ -265,3 +265,22 @@ def test_options(tmp_path):
     assert (c.features, c.idle_timeout, c.header, c.active_timeout, c.output) == ("wide", 9, True, 3600, "csv")
     with pytest.raises(ValueError):
         Config(output="csv")
+
+
+def test_a_feature_set_of_ones_own(spark, tmp_path):
+    """A registered set and an added aggregate, through options; and options written and read again."""
+    from netloom.config import to_toml
+    from netloom.plans.featuresets import FeatureSet, register
+
+    features.add_aggregate("largest_ack", lambda: F.max("sequence_number_ack"))
+    own = {"packets": F.col("packet_len_count"), "ack": F.col("largest_ack"), "mean_gap": F.col("iat_mean")}
+    register(FeatureSet("own", own, {"packets": own["packets"]}))
+    c = from_args(parser().parse_args(["-f", "own", "--sweep", "none", "pcap", "x"]))
+    to_toml(c, str(tmp_path / "saved.toml"))
+    assert from_toml(str(tmp_path / "saved.toml")) == c
+    p = table(spark, [packet(0, 1, ack=5), packet(1, 2, ack=9), packet(2, 4, False, ack=7)])
+    assert [tuple(r) for r in engine.extract(p, c).collect()] == [(3, 9, 1500.0)]
+    assert feature_set("own").reads(spark) == {"packet_len_count", "largest_ack", "iat_mean"} and feature_set("own").reads(spark, True) == {"packet_len_count"}
+    with pytest.raises(ValueError, match="one of"):
+        engine.extract(p, Config(features="nobody's"))
+    features._added.pop("largest_ack")
