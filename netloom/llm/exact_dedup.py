@@ -77,7 +77,7 @@ def _members(digests: DataFrame, best: Callable, scratch: Scratch) -> tuple[Data
     """Groups of more than one row (h, keep_id, group_size, parts), their members (h, id, raw, keep_id, parts), and the filter."""
     groups = digests.groupBy("h").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     groups = scratch.written(groups.withColumn("parts", F.ceil(F.col("group_size") / PER_SALT).cast("int")), "groups")
-    members = scratch.written(digests.select("h", "id", "raw").join(groups.select("h", "keep_id", "parts").hint("merge"), "h").distinct(), "members")
+    members = scratch.written(digests.select("h", "id", "raw").distinct().join(groups.select("h", "keep_id", "parts").hint("merge"), "h"), "members")
     return groups, members, scratch.written(_bits(members), "filter")
 
 
