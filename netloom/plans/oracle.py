@@ -7,17 +7,24 @@ from netloom.schema import FLAGS
 from netloom.sources.derived import DUCKDB
 
 
-def walk(active: int, idle: int) -> str:
-    """CTEs p (packets), s (packets with flow_seq, is_fwd and, on a flow's last packet, why and when it ended)."""
+def walk(active: int, idle: int, interval: int | None = None) -> str:
+    """CTEs p (packets), s (packets with flow_seq, is_fwd and, on a flow's last packet, why and when it ended). With an interval,
+    the clock's ticks (the first packet, then each that is at least so many seconds later) look for expired flows, too."""
+    due = "least(first0 + {a}, last0 + {i})".format(a=(active + 1) * 1_000_000, i=(idle + 1) * 1_000_000)
+    ticks = f"""tk AS (SELECT min(packet_id) AS id, arg_min(timestamp_us, packet_id) AS ts FROM p UNION ALL
+  SELECT n.packet_id, n.timestamp_us FROM tk JOIN p n ON n.packet_id = (SELECT min(o.packet_id) FROM p o WHERE o.packet_id > tk.id AND o.timestamp_us >= tk.ts + {(interval or 0) * 1_000_000})),
+ticks AS MATERIALIZED (SELECT list({{'id': id, 'ts': ts}} ORDER BY id) AS all_ticks FROM tk),""" if interval is not None else "ticks AS (SELECT CAST([] AS STRUCT(id BIGINT, ts BIGINT)[]) AS all_ticks),"
+    first_due = lambda d: f"list_filter(all_ticks, lambda x: x.ts >= {d})[1]"
     return f"""
 WITH RECURSIVE p AS MATERIALIZED ({DUCKDB}),
+{ticks}
 k AS MATERIALIZED (SELECT *, source_ip || '|' || source_port AS src, least(source_ip || '|' || source_port, destination_ip || '|' || destination_port) AS a, greatest(source_ip || '|' || source_port, destination_ip || '|' || destination_port) AS b,
   row_number() OVER (PARTITION BY least(source_ip || '|' || source_port, destination_ip || '|' || destination_port), greatest(source_ip || '|' || source_port, destination_ip || '|' || destination_port), protocol ORDER BY packet_id) AS rn FROM p),
 r AS (
-  SELECT DISTINCT a, b, protocol, 0::BIGINT AS rn, -1::BIGINT AS seq, 0::BIGINT AS first_ts, 0::BIGINT AS last_ts, '' AS fsrc, 'none' AS term, NULL::VARCHAR AS ex, true AS is_fwd, 0 AS hs, 0 AS syn, 0 AS sa, NULL::BIGINT AS hand,
+  SELECT DISTINCT a, b, protocol, 0::BIGINT AS rn, -1::BIGINT AS seq, 0::BIGINT AS first_ts, 0::BIGINT AS last_ts, '' AS fsrc, 'none' AS term, NULL::VARCHAR AS ex, NULL::BIGINT AS ex_ts, true AS is_fwd, 0 AS hs, 0 AS syn, 0 AS sa, NULL::BIGINT AS hand,
     0 AS ff, 0 AS fb, NULL::BIGINT AS askf, NULL::BIGINT AS askb, 0 AS sf, 0 AS sb, 0 AS crossed, 0 AS rb, 0 AS ra FROM k
   UNION ALL
-  SELECT a, b, protocol, rn, seq, first_ts, ts, fsrc, term5, ex, fwd, hs2, syn2, sa2, hand2, ff4, fb4, askf3, askb3, sf3, sb3, crossed3, rb5, ra5 FROM (
+  SELECT a, b, protocol, rn, seq, first_ts, ts, fsrc, term5, ex, ex_ts, fwd, hs2, syn2, sa2, hand2, ff4, fb4, askf3, askb3, sf3, sb3, crossed3, rb5, ra5 FROM (
   SELECT *, CASE WHEN term4 <> '' THEN term4 WHEN tcp AND rst = 1 THEN 'TCP Reset' ELSE '' END AS term5,
     CASE WHEN term4 = '' AND tcp AND rst = 1 AND hs2 = 0 THEN 1 ELSE 0 END AS rb5, CASE WHEN term4 = '' AND tcp AND rst = 1 AND hs2 = 1 THEN 1 ELSE 0 END AS ra5 FROM (
   SELECT *, CASE WHEN ff4 = 2 AND fb4 = 2 THEN 'TCP Normal Termination' ELSE '' END AS term4 FROM (
@@ -28,20 +35,21 @@ r AS (
   SELECT *, CASE WHEN opens THEN 1 ELSE syn1 END AS syn2, CASE WHEN opens THEN 0 WHEN answers THEN 1 ELSE sa1 END AS sa2, CASE WHEN opens THEN NULL WHEN answers THEN (sq + 1) % 4294967296 ELSE hand1 END AS hand2,
     CASE WHEN NOT opens AND NOT answers AND tcp AND hs1 = 0 AND fwd AND syn1 = 1 AND sa1 = 1 AND ack = 1 AND sy = 0 AND acked = hand1 THEN 1 ELSE hs1 END AS hs2 FROM (
   SELECT *, tcp AND hs1 = 0 AND fwd AND sy = 1 AND ack = 0 AS opens, tcp AND hs1 = 0 AND NOT fwd AND syn1 = 1 AND sy = 1 AND ack = 1 AS answers FROM (
-  SELECT a, b, protocol, rn, ts, ex, fin, sy, rst, ack, sq, acked, len, protocol = 6 AS tcp, seq0 + CASE WHEN fresh THEN 1 ELSE 0 END AS seq, CASE WHEN fresh THEN ts ELSE first0 END AS first_ts, CASE WHEN fresh THEN src ELSE fsrc0 END AS fsrc, fresh OR src = fsrc0 AS fwd,
+  SELECT a, b, protocol, rn, ts, ex, ex_ts, fin, sy, rst, ack, sq, acked, len, protocol = 6 AS tcp, seq0 + CASE WHEN fresh THEN 1 ELSE 0 END AS seq, CASE WHEN fresh THEN ts ELSE first0 END AS first_ts, CASE WHEN fresh THEN src ELSE fsrc0 END AS fsrc, fresh OR src = fsrc0 AS fwd,
     CASE WHEN fresh THEN 0 ELSE hs0 END AS hs1, CASE WHEN fresh THEN 0 ELSE syn0 END AS syn1, CASE WHEN fresh THEN 0 ELSE sa0 END AS sa1, CASE WHEN fresh THEN NULL ELSE hand0 END AS hand1, CASE WHEN fresh THEN 0 ELSE ff0 END AS ff1, CASE WHEN fresh THEN 0 ELSE fb0 END AS fb1,
     CASE WHEN fresh THEN NULL ELSE askf0 END AS askf1, CASE WHEN fresh THEN NULL ELSE askb0 END AS askb1, CASE WHEN fresh THEN 0 ELSE sf0 END AS sf1, CASE WHEN fresh THEN 0 ELSE sb0 END AS sb1, CASE WHEN fresh THEN 0 ELSE crossed0 END AS crossed1 FROM (
   SELECT *, dead OR ex IS NOT NULL AS fresh FROM (
-  SELECT *, CASE WHEN dead THEN NULL WHEN (ts - first0) // 1000000 > {active} THEN 'Active Timeout' WHEN (ts - last0) // 1000000 > {idle} THEN 'Idle Timeout' END AS ex FROM (
-  SELECT k.a, k.b, k.protocol, k.rn, k.src, k.timestamp_us AS ts, k.fin_flag AS fin, k.syn_flag AS sy, k.rst_flag AS rst, k.ack_flag AS ack, k.sequence_number AS sq, k.sequence_number_ack AS acked, k.data_length AS len, r.term <> '' AS dead,
+  SELECT *, CASE WHEN dead THEN NULL WHEN (seen - first0) // 1000000 > {active} THEN 'Active Timeout' WHEN (seen - last0) // 1000000 > {idle} THEN 'Idle Timeout' END AS ex, seen AS ex_ts FROM (
+  SELECT *, CASE WHEN tick.id <= number THEN tick.ts ELSE ts END AS seen FROM (SELECT *, {first_due(due)} AS tick FROM (
+  SELECT ticks.all_ticks, k.packet_id AS number, k.a, k.b, k.protocol, k.rn, k.src, k.timestamp_us AS ts, k.fin_flag AS fin, k.syn_flag AS sy, k.rst_flag AS rst, k.ack_flag AS ack, k.sequence_number AS sq, k.sequence_number_ack AS acked, k.data_length AS len, r.term <> '' AS dead,
     r.seq AS seq0, r.first_ts AS first0, r.last_ts AS last0, r.fsrc AS fsrc0, r.hs AS hs0, r.syn AS syn0, r.sa AS sa0, r.hand AS hand0, r.ff AS ff0, r.fb AS fb0, r.askf AS askf0, r.askb AS askb0, r.sf AS sf0, r.sb AS sb0, r.crossed AS crossed0
-  FROM r JOIN k ON k.a = r.a AND k.b = r.b AND k.protocol = r.protocol AND k.rn = r.rn + 1))))))))))
+  FROM r JOIN k ON k.a = r.a AND k.b = r.b AND k.protocol = r.protocol AND k.rn = r.rn + 1 CROSS JOIN ticks))))))))))))
 ),
-m AS MATERIALIZED (SELECT k.*, r.seq AS flow_seq, r.is_fwd, r.term, r.hs, r.rb, r.ra, r.ff, r.fb, r.sf, r.sb, r.crossed,
-  lead(r.seq) OVER q IS DISTINCT FROM r.seq AS is_last, lead(r.ex) OVER q AS next_ex, lead(k.timestamp_us) OVER q AS next_ts, lead(r.seq) OVER q IS NULL AS is_end
-  FROM r JOIN k ON k.a = r.a AND k.b = r.b AND k.protocol = r.protocol AND k.rn = r.rn WINDOW q AS (PARTITION BY r.a, r.b, r.protocol ORDER BY r.rn)),
-c AS (SELECT *, CASE WHEN NOT is_last THEN NULL WHEN term <> '' THEN term WHEN is_end THEN 'Exporter Shutdown' ELSE next_ex END AS close_cause,
-  CASE WHEN NOT is_last THEN NULL WHEN term <> '' THEN timestamp_us WHEN is_end THEN (SELECT arg_max(timestamp_us, packet_id) FROM p) ELSE next_ts END AS close_ts FROM m),
+m AS MATERIALIZED (SELECT k.*, {first_due(due.replace('first0', 'r.first_ts').replace('last0', 'r.last_ts'))} AS end_tick, r.first_ts AS begun, r.seq AS flow_seq, r.is_fwd, r.term, r.hs, r.rb, r.ra, r.ff, r.fb, r.sf, r.sb, r.crossed,
+  lead(r.seq) OVER q IS DISTINCT FROM r.seq AS is_last, lead(r.ex) OVER q AS next_ex, lead(r.ex_ts) OVER q AS next_ts, lead(r.seq) OVER q IS NULL AS is_end
+  FROM r JOIN k ON k.a = r.a AND k.b = r.b AND k.protocol = r.protocol AND k.rn = r.rn CROSS JOIN ticks WINDOW q AS (PARTITION BY r.a, r.b, r.protocol ORDER BY r.rn)),
+c AS (SELECT *, CASE WHEN NOT is_last THEN NULL WHEN term <> '' THEN term WHEN is_end AND end_tick IS NULL THEN 'Exporter Shutdown' WHEN is_end THEN CASE WHEN (end_tick.ts - begun) // 1000000 > {active} THEN 'Active Timeout' ELSE 'Idle Timeout' END ELSE next_ex END AS close_cause,
+  CASE WHEN NOT is_last THEN NULL WHEN term <> '' THEN timestamp_us WHEN is_end THEN coalesce(end_tick.ts, (SELECT arg_max(timestamp_us, packet_id) FROM p)) ELSE next_ts END AS close_ts FROM m),
 s AS MATERIALIZED (SELECT *, CASE WHEN close_cause IS NULL THEN NULL WHEN protocol <> 6 THEN 'not_applicable' WHEN close_cause = 'TCP Reset' THEN 'reset' WHEN sf = 1 AND sb = 1 THEN CASE WHEN ff = 2 AND fb = 2 THEN CASE WHEN crossed = 1 THEN 'simultaneous_fin' ELSE 'four_way_fin' END ELSE 'bidirectional_fin' END
     WHEN sf = 1 OR sb = 1 THEN 'half_close' WHEN close_cause IS NOT NULL THEN 'none' END AS close_style,
   max(close_cause) OVER (PARTITION BY a, b, protocol, flow_seq) IN ('Active Timeout', 'Idle Timeout', 'Exporter Shutdown') AS closed FROM c)

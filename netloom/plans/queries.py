@@ -197,7 +197,10 @@ def i6_early_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.snapshots(segmented(derived.packets(spark, sf_dir), PLAIN), _EARLY, names).select("snapshot_packet_id", *names))
 
 
-@query()
+_SWEPT = {n: n for n in ("first_packet_id", "close_cause", "close_ts", "idle_total", "packet_len_count")}
+
+
+@query(f"{oracle.walk(ACTIVE, IDLE, 7)}{oracle.FLOWS} SELECT {_rounded_sql(_SWEPT, {'idle_total'})} FROM f")
 def i2_exact_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Config(active_timeout=ACTIVE, idle_timeout=IDLE, expiration_check_interval=7, sweep="exact")
     names = ("first_packet_id", "close_cause", "close_ts", "idle_total", "packet_len_count")
@@ -254,6 +257,10 @@ _CLEAN = {
     "nfstream": {"src_port_iana": oracle.iana("source_port"), "dst_port_iana": oracle.iana("destination_port"), **{k: v for k, v in _FULL["nfstream"].items() if k not in ("id", "expiration_id", "src_ip", "dst_ip", "src_port", "dst_port") and not k.endswith("_seen_ms")}},
     "wide": {"source_port_iana": oracle.iana("source_port"), "destination_port_iana": oracle.iana("destination_port"), **{k: v for k, v in _FULL["wide"].items() if k not in ("flow_id", "source_ip", "source_port", "destination_ip", "destination_port") and "timestamp" not in k}},
 }
+_TICKED = Config(active_timeout=ACTIVE, idle_timeout=IDLE)
+for _n in ("basic", "wide"):  # the default options but for the compressed time
+    _queries[f"j_{_n}_swept"] = schema_of(_n, config=_TICKED)
+    _sql[f"j_{_n}_swept"] = _set_sql(_n, _FULL[_n]).replace(oracle.walk(ACTIVE, IDLE), oracle.walk(ACTIVE, IDLE, _TICKED.expiration_check_interval))
 for _n, _columns in _CLEAN.items():
     _sql[f"j_{_n}_clean"] = _set_sql(_n, _columns)
 
