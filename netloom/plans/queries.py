@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from netloom.config import Config
 from netloom.functions import net
 from netloom.operators import features
+from netloom.operators.decode import packets_of_frames
 from netloom.operators.segment import idle_segments, segmented
 from netloom.plans import engine, oracle
 from netloom.plans.featuresets import feature_set
 from netloom.schema import FLAGS
-from netloom.sources import derived
+from netloom.sources import derived, frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The derived packets' time is compressed, and so are the timeouts.
@@ -230,6 +231,21 @@ def g1_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_sources(*[p.filter(F.col("protocol") == n) for n in (1, 6, 17)]).groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"))
 
 
+@query(frames.DECODED_SQL)
+def a3_decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link layer, both address families with options, extension headers and fragments, and what has to be dropped."""
+    return packets_of_frames(frames.frames(frames.plan(spark, sf_dir)))
+
+
+@query(f"{frames.PLAN_SQL} {frames.FIELDS_SQL}")
+def a16_agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of both address families, by the agent's own clock, as one packet table."""
+    from netloom.sources.events import normalised, union_sources
+
+    p, offset = frames.plan(spark, sf_dir), 1_000_000
+    return union_sources(*[normalised(frames.agent_events(p, v6, offset), offset) for v6 in (False, True)])
+
+
 _FULL = oracle.sets()
 _CIC_WORDS = ("Mean", "Std", "Max", "Min", "Avg", "/s", "Variance", "Ratio", "Average Packet Size", "IAT Total", "Total Length", "Header Length", "Subflow")
 _CIC_DOUBLES = {n for n in _FULL["cic"] if any(w in n for w in _CIC_WORDS)}
