@@ -221,6 +221,39 @@ def test_capture_files_to_text(spark, tmp_path):
     assert "192.0.2.1,53,192.0.2.2,5353,UDP,1970-01-01 00:00:01.500 UTC,0,32,1,......" in {x for t in text for x in t[1:]}
 
 
+@pytest.mark.parametrize("order", "<>")
+def test_pcapng(spark, tmp_path, order):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        size = struct.pack(f"{order}I", len(body) + 12)
+        return struct.pack(f"{order}I", kind) + size + body + size
+
+    def face(most, options=b""):
+        return block(1, struct.pack(f"{order}HHI", 1, 0, most) + options)
+
+    def packet(i, ticks, data):
+        return block(6, struct.pack(f"{order}IIIII", i, ticks >> 32, ticks & 0xFFFFFFFF, len(data), len(data)) + data)
+
+    section = block(0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1))
+    a, b = ether(0x0800, v4(17, UDP)), ether(0x86DD, v6(17, UDP)) + b"x"
+    fine = struct.pack(f"{order}HHB3xHHqHH", 9, 1, 9, 14, 8, 100, 0, 0)
+    halves = struct.pack(f"{order}HHB3x", 9, 1, 0x81)
+    old = struct.pack(f"{order}HHIIII", 1, 0, 1, 705_034_703, len(a), len(a))
+    simple = struct.pack(f"{order}I", len(b)) + b
+    first = section + face(20) + face(0, fine) + block(5, b"1234") + packet(0, 1_700_000_000_000_001, a) + packet(1, 2_000_001_999, b) + block(2, old + a) + block(3, simple)
+    second = section + face(0, halves) + packet(0, 7, a)
+    want = [(1_700_000_000_000_001, a), (102_000_001, b), (105_000_001, a), (0, b[:20]), (3_500_000, a)]
+    for i, (end, n) in enumerate([(b"", 5), (packet(0, 9, a)[:-5], 5), (packet(3, 9, a) + packet(0, 9, a), 5), (b"\6", 5)]):
+        (tmp_path / f"{i}.pcapng").write_bytes(first + second + end)
+        with open(tmp_path / f"{i}.pcapng", "rb") as f:
+            assert list(pcap.frames_of(f)) == [(k, *x) for k, x in enumerate(want)][:n]
+    rows = pcap.frames(spark, str(tmp_path / "0.pcapng")).collect()
+    assert [(r.idx, r.ts_us, bytes(r.data)) for r in rows] == [(k, *x) for k, x in enumerate(want)]
+    spark.dataSource.register(pcap.PcapDataSource)
+    assert spark.read.format("pcap").load(path=str(tmp_path / "*.pcapng")).count() == 20
+    assert pcap.packets(spark, str(tmp_path / "0.pcapng")).count() == 4
+
+
 def test_events_are_normalised(spark):
     row = (1, 0x0A000001, 0x0A000002, 5_000_999, 80, 1000, 3, 43, 100, 18, 6, 20, 7, 9, 0, 0, "ingress")
     names = "event_id long, ipv4_source long, ipv4_destination long, timestamp_ns long, port_destination int, port_source int, data_length int, length int, window_size int, combined_flags short, protocol short, header_length short, sequence_number long, sequence_number_ack long, icmp_type short, icmp_code short, direction string"
