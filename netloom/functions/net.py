@@ -41,8 +41,9 @@ def ipv6_bytes(ip: Column) -> Column:
 
 
 def address_key(ip: Column) -> Column:
-    """Sorts as addresses do: IPv4 before IPv6, each by its bytes."""
-    return F.when(is_ipv4(ip), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(ip))), 8, "0"))).otherwise(F.concat(F.lit("6"), ipv6_bytes(ip)))
+    """Sorts as addresses do: IPv4 before IPv6, each by its bytes. A part of an IPv4 text over 255 doesn't carry into the one before it."""
+    parts = [F.lpad(F.split_part(ip, F.lit("."), F.lit(i)), 3, "0") for i in (1, 2, 3, 4)]
+    return F.when(is_ipv4(ip), F.concat(F.lit("4"), *parts)).otherwise(F.concat(F.lit("6"), ipv6_bytes(ip)))
 
 
 def endpoint(ip: Column, port: Column) -> Column:
