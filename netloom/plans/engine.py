@@ -15,7 +15,7 @@ from netloom.plans.featuresets import FeatureSet, feature_set
 
 def flows(packets: DataFrame, config: Config, names: Container[str] | None = None) -> DataFrame:
     """Aggregates of all flows, all or those in `names`, and of early snapshots if configured."""
-    seg = segmented(packets, config)
+    seg = segmented(packets, config, again=True)
     out = features.flows(seg, names)
     if config.early_export is not None:
         early = features.snapshots(seg, config.early_export, names)
