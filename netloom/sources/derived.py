@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.operators import segment
 from netloom.schema import packets_of
 
 # The view that turns events into packets; time is compressed ten thousand times.
@@ -43,7 +44,11 @@ FROM q
 DUCKDB = VIEW.format(US="epoch_us(ts)", K="json_extract_string(props, '$.k')", EVENTS="events")
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Packets of the events table. The view's window over a user's events sorts them in spark.sql.shuffle.partitions tasks;
+    with `dealt` in as many as segmentation takes. Plans that don't read sequence_number_ack drop the window and need no dealing."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if dealt and (n := segment.tasks(spark, events.count())) > segment.tasks(spark, 0):
+        events = events.repartition(n, "user_id")
     sql = VIEW.format(US="unix_micros(CAST(ts AS TIMESTAMP))", K="get_json_object(props, '$.k')", EVENTS="{events}")
     return packets_of(spark.sql(sql, events=events))
