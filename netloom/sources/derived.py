@@ -44,11 +44,18 @@ FROM q
 DUCKDB = VIEW.format(US="epoch_us(ts)", K="json_extract_string(props, '$.k')", EVENTS="events")
 
 
+def _tasks(spark: SparkSession, count: int) -> int:
+    """Tasks for the window over `count` events, as many as segmentation takes. Over more tasks than a threshold (200), a shuffle holds
+    what each reader of files writes in memory; so long as a task gets no more than four times the events, which are narrow, it is kept to."""
+    most = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return min(segment.tasks(spark, count), max(most, segment.tasks(spark, -(-count // 4))))
+
+
 def packets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Packets of the events table. The view's window over a user's events sorts them in spark.sql.shuffle.partitions tasks;
-    with `dealt` in as many as segmentation takes. Plans that don't read sequence_number_ack drop the window and need no dealing."""
+    with `dealt` in a number that grows with the table. Plans that don't read sequence_number_ack drop the window and need no dealing."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    if dealt and (n := segment.tasks(spark, events.count())) > segment.tasks(spark, 0):
+    if dealt and (n := _tasks(spark, events.count())) > segment.tasks(spark, 0):
         events = events.repartition(n, "user_id")
     sql = VIEW.format(US="unix_micros(CAST(ts AS TIMESTAMP))", K="get_json_object(props, '$.k')", EVENTS="{events}")
     return packets_of(spark.sql(sql, events=events))
