@@ -53,8 +53,8 @@ def _tasks(spark: SparkSession, count: int) -> int:
 
 def packets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Packets of the events table. The view's window over a user's events sorts them in as many tasks as adaptive execution leaves
-    of spark.sql.shuffle.partitions, which are about as many as there are cores, however many they were; with `dealt`, tables of more events
-    than one task's are dealt to a number that grows with the table. Plans that don't read sequence_number_ack drop the window and need no dealing."""
+    of spark.sql.shuffle.partitions, which are few; with `dealt`, tables of more events than one task's are dealt to a number that grows with
+    the table. Plans that don't read sequence_number_ack drop the window and need no dealing."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     if dealt and (count := events.count()) > segment.TASK_PACKETS:
         events = events.repartition(_tasks(spark, count), "user_id")
